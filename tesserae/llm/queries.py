@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe, packing, quality, simhash
+from tesserae.llm import bpe, packing, quality, repeats, simhash
 from tesserae.runtime import table
 
 def tokenizer_file(name: str) -> str:
@@ -19,6 +19,10 @@ def tokenizer_file(name: str) -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -37,6 +41,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_repeats": op1_repeats,
         "op2_bpe": op2_bpe,
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
