@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe, packing, quality, repeats, simhash
+from tesserae.llm import bpe, forest, packing, quality, repeats, simhash, toxicity, warc
 from tesserae.runtime import table
 
 def tokenizer_file(name: str) -> str:
@@ -27,6 +27,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -43,6 +55,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_repeats": op1_repeats,
         "op2_bpe": op2_bpe,
+        "op3_forest": op3_forest,
+        "op5_toxicity": op5_toxicity,
+        "op7_warc": op7_warc,
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
         "op10_simhash": op10_simhash,
@@ -50,4 +65,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality": quality.SQL}
+    return {"op7_warc": warc.SQL, "op9_quality": quality.SQL}
