@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe, forest, packing, quality, repeats, simhash, toxicity, warc
+from tesserae.llm import bpe, forest, packing, privacy, quality, repeats, simhash, toxicity, warc
 from tesserae.runtime import table
 
 def tokenizer_file(name: str) -> str:
@@ -31,6 +31,10 @@ def op3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op4_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Query]:
         "op1_repeats": op1_repeats,
         "op2_bpe": op2_bpe,
         "op3_forest": op3_forest,
+        "op4_privacy": op4_privacy,
         "op5_toxicity": op5_toxicity,
         "op7_warc": op7_warc,
         "op8_packing": op8_packing,
