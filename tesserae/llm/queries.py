@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe, forest, packing, privacy, quality, repeats, simhash, toxicity, warc
+from tesserae.llm import bpe, forest, html, packing, privacy, quality, repeats, simhash, toxicity, warc
 from tesserae.runtime import table
 
 def tokenizer_file(name: str) -> str:
@@ -39,6 +39,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.digest(table(spark, sf_dir, "pages"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op3_forest": op3_forest,
         "op4_privacy": op4_privacy,
         "op5_toxicity": op5_toxicity,
+        "op6_html": op6_html,
         "op7_warc": op7_warc,
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
