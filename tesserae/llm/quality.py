@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-MIN_DOCS, SHARE, SALTS = 10, 0.01, 16
+MIN_DOCS, SHARE, SALTS, FEW = 10, 0.01, 16, 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,24 +65,40 @@ def _marked(rows: Column, same) -> Column:
 def repeat_words(words: Column) -> Column:
     """Words that stand in a 3-word window found twice or more, the first one included."""
 
-    def positions(w: Column) -> Column:
-        bits = F.ceil(F.log2(F.size(w) + 1)).cast("int")
-        keyed = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.call_function("shiftleft", F.xxhash64(w[i], w[i + 1], w[i + 2]), bits).bitwiseOR(i.cast("long")),
-        )
+    def by_sorting(h: Column) -> Column:
+        """Positions of hashes that may be found twice: sorted with the position in the low bits."""
+        bits = F.ceil(F.log2(F.size(h) + 3)).cast("int")
         high = lambda x: F.call_function("shiftright", x, bits)
-        maybe = let(F.sort_array(keyed), lambda s: _marked(s, lambda a, b: high(a) == high(b)))
         low = (F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("long")
-        exact = F.transform(
-            maybe,
-            lambda x: let(
-                x.bitwiseAND(low).cast("int"),
-                lambda p: F.struct(F.concat_ws(" ", w[p], w[p + 1], w[p + 2]).alias("g"), p.alias("p")),
-            ),
+        keyed = F.transform(h, lambda x, i: F.call_function("shiftleft", x, bits).bitwiseOR(i.cast("long")))
+        maybe = let(F.sort_array(keyed), lambda s: _marked(s, lambda a, b: high(a) == high(b)))
+        return F.transform(maybe, lambda x: x.bitwiseAND(low).cast("int"))
+
+    def maybe_twice(h: Column) -> Column:
+        """With few hashes found twice, as in most texts, looking each position up among them is cheaper."""
+
+        def of(twice: Column) -> Column:
+            looked_up = F.filter(
+                F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.array_contains(twice, h[i])
+            )
+            return F.when(F.size(twice) <= FEW, looked_up).otherwise(by_sorting(h))
+
+        found = let(F.sort_array(h), lambda s: F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1))))
+        return let(F.array_distinct(found), of)
+
+    def positions(w: Column) -> Column:
+        hashes = F.transform(
+            F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])
         )
-        sure = let(F.sort_array(exact), lambda s: F.when(F.size(s) > 0, _marked(s, lambda a, b: a["g"] == b["g"])))
-        return F.sort_array(F.transform(sure, lambda x: x["p"]))
+
+        def sure(h: Column) -> Column:
+            exact = F.transform(
+                maybe_twice(h), lambda p: F.struct(F.concat_ws(" ", w[p], w[p + 1], w[p + 2]).alias("g"), p.alias("p"))
+            )
+            same = let(F.sort_array(exact), lambda s: F.when(F.size(s) > 0, _marked(s, lambda a, b: a["g"] == b["g"])))
+            return F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(same, lambda x: x["p"])))
+
+        return let(hashes, sure)
 
     def covered(at: Column) -> Column:
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
