@@ -117,7 +117,8 @@ def cited_ids(text: Column | str) -> Column:
 def canonical(value: Column) -> Column:
     """Integers without a fraction; else six significant digits, without trailing zeros."""
     power = F.floor(F.log10(F.abs(value))).cast("int")
-    rounded = F.call_function("round", value, F.greatest(F.lit(0), F.lit(5) - power))
+    factor = F.pow(F.lit(10.0), F.greatest(F.lit(0), F.lit(5) - power))
+    rounded = F.rint(value * factor) / factor
     plain = F.regexp_replace(F.regexp_replace(F.format_string("%.12f", rounded), "0+$", ""), r"\.$", "")
     return F.when(value == F.floor(value), F.format_string("%.0f", value)).otherwise(plain)
 

@@ -7,10 +7,15 @@ rank limit, which Spark prunes before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
+from tesserae.runtime import ship
 
 K1, B, AVERAGE_LENGTH, RRF_K = 1.2, 0.75, 256.0, 60
 DIMENSIONS = 384
@@ -93,18 +98,55 @@ def restrict(rows: DataFrame, doc_ids: list | None = None, kinds: list | None =
     return rows.filter(F.col(kind_col).isin(kinds)) if kinds else rows
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``(qid, id, score, rank)``: the k vectors nearest to each query by cosine.
-
-    A stated query set against all rows: ``queries`` (qid, q) is the small side of a nested-loop
-    join, which Spark broadcasts when its size permits and otherwise pairs in blocks."""
-    norm = lambda c: F.sqrt(dot(c, c))
-    left = vectors.select("id", "embedding", norm("embedding").alias("vn"))
-    right = queries.select("qid", "q", norm("q").alias("qn"))
-    scored = left.join(right).select(
-        "qid", "id", F.try_divide(dot("embedding", "q"), F.col("vn") * F.col("qn")).alias("score")
-    )
-    return _top(scored, k)
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block_bytes: int = 64 << 20) -> DataFrame:
+    """``(qid, id, score, rank)``: the k vectors nearest to each query by cosine, to nine digits.
+
+    A stated query set against all rows, in blocks: queries (qid, q) travel to the tasks in blocks of
+    at most ``block_bytes``; each Arrow batch is one matrix product, of which only the best k a query
+    leave the task. Vectors that are null, zero or of another length take no part."""
+    ship(vectors.sparkSession)
+    rows = queries.filter("q IS NOT NULL").select("qid", F.col("q").cast("array<double>").alias("q")).toArrow()
+    ids, wanted = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+    dims = len(wanted[0]) if wanted else 0
+    step = max(1, block_bytes // (8 * max(dims, 1)))
+    found = None
+    for at in range(0, max(len(ids), 1), step):
+        part = _block_topk(vectors, ids[at : at + step], np.array(wanted[at : at + step], np.float64).reshape(-1, dims), k)
+        found = part if found is None else found.unionByName(part)
+    kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
+    typed = found.select(F.col("qid").cast(kinds[0]).alias("qid"), F.col("id").cast(kinds[1]).alias("id"), "score")
+    return _top(typed, k)
+
+
+def _block_topk(vectors: DataFrame, ids: list, wanted: np.ndarray, k: int) -> DataFrame:
+    norms = np.linalg.norm(wanted, axis=1, keepdims=True)
+    unit = np.divide(wanted, norms, out=np.zeros_like(wanted), where=norms > 0)
+    live, dims = norms[:, 0] > 0, wanted.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
+            size = np.linalg.norm(v, axis=1)
+            good = np.flatnonzero(np.isfinite(size) & (size > 0))
+            keys = batch.column(0).to_numpy(zero_copy_only=False)[good]
+            score = np.round(unit @ (v[good] / size[good, None]).T, 9)
+            out: tuple[list, list, list] = ([], [], [])
+            for q in np.flatnonzero(live):
+                near = np.arange(len(good))
+                if len(near) > k:
+                    edge = np.partition(score[q], len(near) - k)[len(near) - k]
+                    near = np.flatnonzero(score[q] >= edge)
+                best = near[np.lexsort((keys[near], -score[q][near]))][:k]
+                out[0].extend([str(ids[q])] * len(best))
+                out[1].extend(map(str, keys[best].tolist()))
+                out[2].extend(score[q][best].tolist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], ["qid", "id", "score"]
+            )
+
+    fit = vectors.filter(F.size("embedding") == dims) if dims else vectors.filter(F.lit(False))
+    filled = fit.filter(~F.exists("embedding", lambda x: x.isNull()))
+    return filled.select("id", F.col("embedding").cast("array<double>")).mapInArrow(run, "qid string, id string, score double")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, limit: int) -> DataFrame:

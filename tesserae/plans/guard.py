@@ -158,10 +158,10 @@ class Sandbox:
 
     def __enter__(self) -> Sandbox:
         self.session = _guarded_session(self.spark)
+        of_rows = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows
         for name, df in self.tables.items():
-            # a view of another session's frame: its plan is analysed again in the sandbox's own session
-            DataFrame(df._jdf, self.session).createOrReplaceTempView(name)
-            self.session._jsparkSession.sessionState().catalog().createTempView(name, df._jdf.logicalPlan(), True)
+            plan = df._jdf.queryExecution().analyzed()  # the same plan, bound to the sandbox's own session
+            of_rows(self.session._jsparkSession, plan).createOrReplaceTempView(name)
         return self
 
     def __exit__(self, *_) -> None:
