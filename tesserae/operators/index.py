@@ -67,7 +67,7 @@ def sparse_topk(posted: DataFrame, terms: DataFrame, n_docs: int | Column, k: in
 def hash_embedding(chunks: DataFrame, id_col: str, text_col: str, dims: int = DIMENSIONS) -> DataFrame:
     """``(id, embedding)``: signed hashed bag of words, unit length; without tokens the first axis."""
     h = F.crc32(F.col("token").cast("binary"))
-    sign = F.when(F.shiftright(h, 20).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
+    sign = F.when(F.shiftright(h, 20).bitwiseAND(1) == 1, 1.0).when(h.isNotNull(), -1.0)
     rows = chunks.select(F.col(id_col).alias("id"), F.explode_outer(T.tokens(text_col)).alias("token"))
     cells = rows.groupBy("id", (h % dims).cast("int").alias("axis")).agg(F.sum(sign).alias("v")).filter(
         "v <> 0 OR axis IS NULL"

@@ -118,10 +118,19 @@ def _guarded_session(spark: SparkSession) -> SparkSession:
 
 
 def _parsed(sql: str, session: SparkSession):
+    """The unresolved plan, parsed under the session's own settings."""
+    sessions = session._jvm.org.apache.spark.sql.classic.SparkSession
+    before = sessions.getActiveSession()
+    sessions.setActiveSession(session._jsparkSession)
     try:
         return session._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as problem:
         raise UnsafeSQLError(str(problem).splitlines()[0]) from None
+    finally:
+        if before.isDefined():
+            sessions.setActiveSession(before.get())
+        else:
+            sessions.clearActiveSession()
 
 
 def _checked(sql: str, allowed: set[str], session: SparkSession) -> tuple[str, set[str]]:
