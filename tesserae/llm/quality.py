@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.runtime import settle
+
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_DOCS, SHARE, SALTS, FEW = 10, 0.01, 16, 24
@@ -141,30 +143,35 @@ def statistics(t: Column) -> dict[str, Column]:
 
 def removed_words(keyed: DataFrame, min_docs: int, share: float) -> DataFrame:
     """``(k1, k2, lost)``: how many words of a document stand in its host's boilerplate lines."""
-    hashed = keyed.select(
-        "k1",
-        "k2",
-        "host",
-        F.transform(
-            lines_of(F.col("t")),
-            lambda line: let(
-                normalised(line), lambda x: F.struct(F.md5(x).alias("h"), F.size(F.split(x, " ")).alias("n"))
+    def hashed(line: Column) -> Column:
+        return let(
+            normalised(line), lambda x: F.struct(F.unhex(F.md5(x)).alias("h"), F.size(F.split(x, " ")).alias("n"))
+        )
+
+    def signed(lines: Column) -> Column:
+        """Each line with the smallest hash among the document's other lines."""
+        least = F.slice(F.sort_array(F.array_distinct(F.transform(lines, lambda x: x["h"]))), 1, 2)
+        return let(
+            least,
+            lambda two: F.transform(
+                lines,
+                lambda x: F.struct(
+                    x["h"].alias("h"),
+                    x["n"].alias("n"),
+                    F.when(x["h"] == two[0], F.get(two, F.lit(1))).otherwise(two[0]).alias("sign"),
+                ),
             ),
-        ).alias("lines"),
-    ).filter(F.size("lines") > 0)
-    least = F.slice(F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["h"]))), 1, 2)
-    rows = hashed.select("k1", "k2", "host", least.alias("two"), F.posexplode("lines").alias("at", "line")).select(
-        "k1",
-        "k2",
-        "host",
-        "at",
-        F.col("line.h").alias("h"),
-        F.col("line.n").alias("n"),
-        F.when(F.col("line.h") == F.col("two")[0], F.get("two", F.lit(1))).otherwise(F.col("two")[0]).alias("sign"),
+        )
+
+    # made inside the row and before the explode: an expression above it would run once a line
+    lines = let(F.transform(lines_of(F.col("t")), hashed), signed)
+    rows = settle(
+        keyed.select("k1", "k2", "host", F.posexplode(lines).alias("at", "line")).select("k1", "k2", "host", "at", "line.*"),
+        "quality-lines",
     )
     host = F.coalesce("host", F.lit("")), F.col("host").isNull()
     rows = rows.select("*", host[0].alias("g"), host[1].alias("g0"))
-    seen = rows.select("g", "g0", "h", F.coalesce("sign", F.lit("")).alias("sign")).distinct()
+    seen = rows.select("g", "g0", "h", F.coalesce("sign", F.lit("").cast("binary")).alias("sign")).distinct()
     counts = seen.groupBy("g", "g0", "h").agg(F.count("*").alias("found"))
     hosts = keyed.groupBy(host[0].alias("g"), host[1].alias("g0")).agg(F.count("*").alias("docs"))
     over = counts.filter(F.col("found") > min_docs).join(hosts, ["g", "g0"]).filter(F.col("found") > F.col("docs") * share)
