@@ -37,12 +37,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
+def settle(df: DataFrame, name: str, scratch: list[DataFrame] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back: cuts lineage, survives lost executors.
+
+    With ``scratch`` the table is noted there, for ``discard`` once what is made of it is settled too."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tesserae/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._settled_at = path
+    if scratch is not None:
+        scratch.append(held)
+    return held
+
+
+def discard(tables: list[DataFrame]) -> None:
+    """Delete settled tables that no plan needs any more."""
+    for held in tables:
+        context = held.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(held._settled_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    tables.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
