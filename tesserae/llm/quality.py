@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.runtime import settle
+from tesserae.runtime import discard, settle
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -168,6 +168,7 @@ def removed_words(keyed: DataFrame, min_docs: int, share: float) -> DataFrame:
     rows = settle(
         keyed.select("k1", "k2", "host", F.posexplode(lines).alias("at", "line")).select("k1", "k2", "host", "at", "line.*"),
         "quality-lines",
+        scratch := [],
     )
     host = F.coalesce("host", F.lit("")), F.col("host").isNull()
     rows = rows.select("*", host[0].alias("g"), host[1].alias("g0"))
@@ -178,7 +179,9 @@ def removed_words(keyed: DataFrame, min_docs: int, share: float) -> DataFrame:
     salted = over.select("g", "g0", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     hit = rows.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(salted, ["g", "g0", "h", "salt"])
     once = hit.groupBy("k1", "k2", "at").agg(F.max("n").alias("n"))  # rows repeated in full count once
-    return once.groupBy("k1", "k2").agg(F.sum("n").alias("lost"))
+    lost = settle(once.groupBy("k1", "k2").agg(F.sum("n").alias("lost")), "quality-lost")
+    discard(scratch)
+    return lost
 
 
 def judged(

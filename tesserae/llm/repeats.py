@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.runtime import settle, ship
+from tesserae.runtime import discard, settle, ship
 
 LENGTH, TRIGGER, BUCKET, SLAB = 200, 50, 2000, 1 << 21
 _ROWS = "k1 long, k2 long, h long, c long, at long, m int, t int"
@@ -187,7 +187,7 @@ def _suffix_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield emit(held)
 
 
-def _by_halving(big: DataFrame) -> DataFrame:
+def _by_halving(big: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """Ranges of starts that repeat, for the phrases of large buckets.
 
     ``t`` - start is a string's offset from the trigger. The block of offsets p .. p + w - 1 has the
@@ -213,7 +213,7 @@ def _by_halving(big: DataFrame) -> DataFrame:
                 }
             )
         )
-        state = settle(state, "repeats-halves")
+        state = settle(state, "repeats-halves", scratch)
         cores = state.groupBy("q1", "q2").agg(
             F.min("u1").alias("u_lo"), F.max("u1").alias("u_hi"), F.count("*").alias("in_core")
         )
@@ -253,7 +253,8 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     start * 2**32 + end, in no order and overlapping."""
     ship(docs.sparkSession)
     texts = docs.select(*(c.alias(n) for n, c in _keys(docs, text_col).items()), F.col(text_col).alias("text"))
-    parse = settle(texts.mapInArrow(_parse, _ROWS), "repeats-parse")
+    scratch: list[DataFrame] = []
+    parse = settle(texts.mapInArrow(_parse, _ROWS), "repeats-parse", scratch)
     buckets = (
         parse.groupBy("h")
         .agg(F.count("*").alias("occurrences"), F.min("c").alias("lo"), F.max("c").alias("hi"))
@@ -262,11 +263,11 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     shared = parse.join(buckets, "h")
     end = F.col("at") + F.col("m") + (LENGTH - 1)
     plain = shared.filter("lo = hi").select("k1", "k2", F.col("at").alias("a"), end.alias("b"))
-    mixed = settle(shared.filter("lo <> hi").select("k1", "k2", "h", "c", "at", "m", "t"), "repeats-mixed")
+    mixed = settle(shared.filter("lo <> hi").select("k1", "k2", "h", "c", "at", "m", "t"), "repeats-mixed", scratch)
     dictionary = mixed.groupBy("h", "c").agg(
         F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "m", "t")).alias("r")
     )
-    dictionary = settle(dictionary.select("h", "c", "n", "r.*"), "repeats-dictionary")
+    dictionary = settle(dictionary.select("h", "c", "n", "r.*"), "repeats-dictionary", scratch)
     twice = (
         mixed.join(dictionary.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi")
         .select("k1", "k2", F.col("at").alias("a"), end.alias("b"))
@@ -282,7 +283,7 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .dropDuplicates(["h", "c"])
     )
     sizes = dictionary.groupBy("h").agg(F.count("*").alias("kinds"))
-    fetched = settle(fetched.join(sizes, "h"), "repeats-phrases")
+    fetched = settle(fetched.join(sizes, "h"), "repeats-phrases", scratch)
     small = (
         fetched.filter(F.col("kinds") <= BUCKET)
         .select("h", "k1", "k2", "at", "m", "n", "x")
@@ -293,9 +294,11 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     big = fetched.filter(F.col("kinds") > BUCKET).select("k1", "k2", "h", "at", "m", "t", "n", "x")
     ranges = plain.unionByName(twice).unionByName(small)
     if big.limit(1).count():
-        ranges = ranges.unionByName(_by_halving(big))
+        ranges = ranges.unionByName(_by_halving(big, scratch))
     packed = (F.col("a") * F.lit(1 << 32).cast("long") + F.col("b")).alias("ab")
-    return ranges.select("k1", "k2", packed).groupBy("k1", "k2").agg(F.collect_set("ab").alias("cut"))
+    cuts = settle(ranges.select("k1", "k2", packed).groupBy("k1", "k2").agg(F.collect_set("ab").alias("cut")), "repeats-cuts")
+    discard(scratch)
+    return cuts
 
 
 def _merged(cut: list[int] | None) -> list[tuple[int, int]]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.components import components
-from tesserae.runtime import settle, ship
+from tesserae.runtime import discard, settle, ship
 
 BITS, SEED, SLAB = 64, 42, 1 << 16
 
@@ -81,7 +81,9 @@ def _chains_hold(diff, first: int, segments: int, limit: int):
     return ok
 
 
-def links(prints: DataFrame, segments: int = 5, limit: int = 2, block_cap: int = 128) -> DataFrame:
+def links(
+    prints: DataFrame, segments: int = 5, limit: int = 2, block_cap: int = 128, scratch: list[DataFrame] | None = None
+) -> DataFrame:
     """Edges ``(a, b)`` between distinct values of column ``fp`` whose components are those of all
     pairs within ``limit`` bits; every edge of a block within the cap is itself such a pair.
 
@@ -100,7 +102,7 @@ def links(prints: DataFrame, segments: int = 5, limit: int = 2, block_cap: int =
     sizes = rows.groupBy("ring", "key").agg(F.count("*").alias("n")).filter("n > 1")
     if limit != 2:
         block_cap = 1 << 62
-    blocks = settle(rows.join(sizes, ["ring", "key"]), "simhash-blocks")
+    blocks = settle(rows.join(sizes, ["ring", "key"]), "simhash-blocks", scratch)
     small = blocks.filter(F.col("n") <= block_cap)
     left = small.select("ring", "key", F.col("fp").alias("a"))
     right = small.select(F.col("ring").alias("r2"), F.col("key").alias("k2"), F.col("fp").alias("b"))
@@ -145,7 +147,9 @@ def near_duplicates(
     ``limit`` differing bits. A null id is kept as a row and takes part through its fingerprint."""
     prints = settle(fingerprints(docs, id_col, text_col), "simhash-prints")
     classes = settle(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
-    found = components(links(classes, segments, limit, block_cap), "a", "b")
+    scratch: list[DataFrame] = []
+    found = components(links(classes, segments, limit, block_cap, scratch), "a", "b")
+    discard(scratch)
     roots = classes.join(found, F.col("node") == F.col("fp"), "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
