@@ -80,8 +80,6 @@ def stem(token: Column) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Array of search tokens, in order: words whole and in parts, without stop words, stemmed."""
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-
     def expand(raw: Column) -> Column:
         parts = F.filter(F.split(F.regexp_replace(raw, CAMEL, "_"), "[-./_']"), lambda p: p != "")
         return let(parts, lambda p: F.when(F.size(p) == 1, F.array(raw)).otherwise(F.concat(F.array(raw), p)))
@@ -89,7 +87,7 @@ def tokens(text: Column | str) -> Column:
     words = F.regexp_extract_all(F.regexp_replace(col(text), THOUSANDS, ""), F.lit(TOKEN), 0)
     low = F.transform(F.flatten(F.transform(words, expand)), F.lower)
     kept = F.filter(
-        low, lambda t: ~F.array_contains(stops, t) & ((F.length(t) > 1) | t.rlike(r"^\p{Nd}$"))
+        low, lambda t: ~t.isin(*STOP_WORDS) & ((F.length(t) > 1) | t.rlike(r"^\p{Nd}$"))
     )
     return F.transform(kept, stem)
 
