@@ -234,10 +234,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         )
     )
     best = meet.groupBy("key").agg(F.max_by("other", F.struct(alike.alias("a"), (-F.col("from")).alias("b"))).alias("other"))
-    lines = parsed.select("key", "id", "url", "lines", "hashes")
+    lines = parsed.select("key", "id", "url", "lines", "hashes").filter("size(hashes) > 0")
     far = parsed.filter("size(hashes) > 0").select(F.col("key").alias("other"), F.col("hashes").alias("theirs"))
     paired = lines.join(best.join(far, "other").select("key", "theirs"), "key", "left")
-    return paired.select("id", "url", "lines", "hashes", "theirs").mapInArrow(_difference, f"id {kind}, url string, text string")
+    # pages whose lines are all exempt have nothing to align, so their text needs no shuffle
+    exempt = parsed.filter("size(hashes) = 0").withColumn("theirs", F.lit(None).cast("array<long>"))
+    columns = ["id", "url", "lines", "hashes", "theirs"]
+    both = paired.select(*columns).unionByName(exempt.select(*columns))
+    return both.mapInArrow(_difference, f"id {kind}, url string, text string")
 
 
 def digest(pages: DataFrame) -> DataFrame:
