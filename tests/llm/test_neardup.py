@@ -59,3 +59,21 @@ def test_stage_finds_more_than_two_bits(docs):
     assert (prints[0] ^ prints[1]).bit_count() > 2
     got = corpus_pipeline.near_dedup(None, docs(rows, extra=False), "")
     assert {r.doc_id for r in got.collect()} == {1, 3}
+
+
+def test_odd_rows(docs, odd):
+    df = docs(odd, extra=False)
+    got = neardup.one_of_each(df).collect()
+    assert sorted((r.doc_id for r in got), key=str) == sorted([1, 4, 5, None, 6, 7, 8, 9], key=str)
+    assert neardup.one_of_each(df.filter("doc_id < 0")).count() == 0
+
+
+def test_chained_on_repeated_rows_and_copies_without_an_id(spark, docs):
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(80))
+    rows = [(1, body(1)), (1, body(1)), (2, body(2)), (None, body(2)), (None, body(3)), (None, body(3)), (4, body(4) + " a"), (4, body(4) + " b")]
+    now = docs(rows, extra=False)
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.repeated_passages):
+        now = spark.createDataFrame(stage(spark, now, "").collect(), now.schema)
+    got = {(r.doc_id, r.text) for r in now.collect()}
+    assert now.count() == 4 and {i for i, _ in got} == {1, 2, None, 4}
+    assert {(1, body(1)), (2, body(2)), (None, body(3))} < got and dict(got)[4] in (body(4) + " a", body(4) + " b")
