@@ -151,107 +151,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the bounded sample of labelled, not held-out documents.
 
-    The sample is drawn from the labels alone, so only its texts are moved: its ids, at most
-    ``POSITIVES`` + ``NEGATIVES`` of them, are broadcast to the documents."""
-    told = (
-        labels.filter(F.col("toxic").isNotNull() & ~held_out())
-        .groupBy(F.col("doc_id").alias("id"))
-        .agg(F.max("toxic").alias("y"))
-    )
-    order = F.xxhash64("id")
-    parts = [told.filter(c).orderBy(order, "id").limit(n) for c, n in (("y > 0", POSITIVES), ("y <= 0", NEGATIVES))]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(chosen, "id")
-    got = rows.groupBy("id").agg(F.max("t").alias("t"), F.max("y").alias("y")).orderBy("id").toArrow()
-    sample = dict(zip(got.column("t").to_pylist(), got.column("y").to_pylist(), strict=True))  # copies once
-    return fit(list(sample), [int(v > 0) for v in sample.values()])
-
-
-def score(self, text: str) -> float:
-        return min(1.0, max(0.0, noisy_or(self._chances(sentences_of(text) or [[]]))))
-
-
-def _telling(texts: list[str], y: np.ndarray) -> np.ndarray:
-    """Which features are found in toxic documents ``LIFT`` times as often as in others, and in
-    ``LEAST_DOCS`` of them or more. Noisy-or needs evidence for, not against: the rest is noise."""
-    found = np.zeros((2, 1 << BITS), np.int32)
-    memo: dict[str, list[int]] = {}
-    for text, label in zip(texts, y, strict=True):
-        mine: set[int] = set()
-        for w in {w for words in sentences_of(text) for w in words}:
-            if w not in memo:
-                if len(memo) > CACHE:
-                    memo.clear()
-                memo[w] = features(w)
-            mine.update(memo[w])
-        found[int(label > 0), list(mine)] += 1
-    for_toxic = (found[1] + 0.5) / (y > 0).sum()
-    return (found[1] >= LEAST_DOCS) & (for_toxic >= LIFT * (found[0] + 0.5) / (y <= 0).sum())
-
-
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Weights by Adagrad on the noisy-or likelihood, over the telling features."""
-    y = np.array(labels, np.float64)
-    if not (0 < y.sum() < len(y)):
-        return Model()
-    telling = _telling(texts, y)
-    cell_list: list[int] = []
-    owner_list: list[int] = []
-    bag_list: list[int] = []
-    memo: dict[str, list[int]] = {}
-    for d, text in enumerate(texts):
-        for words in sentences_of(text) or [[]]:
-            for w in words:
-                if w not in memo:
-                    if len(memo) > CACHE:
-                        memo.clear()
-                    memo[w] = [f for f in features(w) if telling[f]]
-                if memo[w]:
-                    cell_list += memo[w]
-                    owner_list += [len(bag_list)] * len(memo[w])
-            bag_list.append(d)
-    cell, owner, bag = np.array(cell_list, np.int64), np.array(owner_list, np.int64), np.array(bag_list)
-    n = len(bag)
-    used, cell = np.unique(cell, return_inverse=True)
-    w, bias = np.ones(len(used)), -5.0
-    seen, seen_bias = np.full(len(used), 1e-10), 1e-10
-    for _ in range(ROUNDS):
-        z = bias + np.bincount(owner, w[cell], minlength=n)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        log_clean = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))
-        whole = np.maximum(-np.expm1(log_clean), 1e-12)
-        share = np.where(y > 0, -(1 - whole) / whole, 1.0)
-        pull = share[bag] * p / len(y)
-        grad = np.bincount(cell, pull[owner], minlength=len(used)) + DECAY * w
-        seen += grad**2
-        w -= RATE * grad / np.sqrt(seen)
-        g = pull.sum()
-        seen_bias += g * g
-        bias -= RATE * g / math.sqrt(seen_bias)
-    return Model(float(bias), {int(f): float(x) for f, x in zip(used, w, strict=True) if abs(x) > 0.02})
-
-
-def held_out(id_col: str = "doc_id") -> Column:
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on the bounded sample of labelled, not held-out documents."""
+    The sample is drawn from ids and hashes of texts; only the texts drawn, at most ``POSITIVES`` +
+    ``NEGATIVES``, are moved: their ids are broadcast to the documents."""
     told = (
         labels.filter(F.col("toxic").isNotNull() & ~held_out())
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.max("toxic").alias("y"))
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("h"))
-    rows = rows.join(told, "id").select("t", "y", "h")
-    texts, y = [], []
-    for value, most in ((1, POSITIVES), (0, NEGATIVES)):
-        near = rows.filter(F.col("y") == value).groupBy("h").agg(F.first("t").alias("t")).orderBy("h").limit(most)
-        got = near.select("t").toArrow().column(0).to_pylist()
-        texts += got
-        y += [value] * len(got)
-    return fit(texts, y)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).join(told, "id")
+    parts = [
+        rows.filter(F.col("y") == value).groupBy("h").agg(F.min("id").alias("id")).orderBy("h").limit(most).withColumn("y", F.lit(value))
+        for value, most in ((1, POSITIVES), (0, NEGATIVES))
+    ]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))
+    drawn = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.xxhash64(text).alias("h")).join(chosen, ["id", "h"])
+    got = drawn.groupBy("y", "h").agg(F.first("t").alias("t")).toArrow().sort_by([("y", "descending"), ("h", "ascending")])
+    return fit(got.column("t").to_pylist(), got.column("y").to_pylist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

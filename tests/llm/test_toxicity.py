@@ -1,5 +1,8 @@
+import ast
 import random
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -49,3 +52,18 @@ def test_noisy_or(scores):
     for s in scores:
         rest *= 1 - s
     assert abs(toxicity.noisy_or(scores) - (1 - rest)) < 1e-9
+
+
+def test_each_function_stands_once():
+    body = ast.parse(Path(toxicity.__file__).read_text()).body
+    assert max(Counter(n.name for n in body if isinstance(n, ast.FunctionDef)).values()) == 1
+
+
+def test_sample_counts_copies_once_and_only_documents(spark, docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "POSITIVES", 3)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: (texts, y))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, "copy" if n < 20 else f"text {i}") for n, i in enumerate(ids[:24])]
+    labels = spark.createDataFrame([(i, 1, 1) for i in ids], "doc_id long, quality int, toxic int")
+    texts, y = toxicity.train(docs(rows), labels)
+    assert len(set(texts)) == len(texts) == 3 and y == [1, 1, 1]
