@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -27,10 +29,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a private one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a private
+    one in local mode (tests); on a cluster that raises, since executors share no folder then."""
     context = spark.sparkContext
     known = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tesserae-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(known)
@@ -60,5 +65,10 @@ def discard(tables: list[DataFrame]) -> None:
     tables.clear()
 
 
+def sized_broadcast(small: DataFrame, most: int = 200_000) -> DataFrame:
+    """``small``, settled before, with a broadcast hint if it has at most ``most`` rows; beyond that Spark shuffles it."""
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
