@@ -1,25 +1,25 @@
 """Quality rules: statistics of each text, and cross-document line frequency.
 
 Lines are normalised (ASCII lower case, white space to single spaces) and hashed. For each host
-(the ``source``) the distinct documents that hold a line are counted; lines found in more than
-``limit`` documents, the larger of ``min_docs`` and ``share`` of the host's documents, are
-boilerplate and count as removed. A document that loses more than half its words is depleted and
-rejected, and so is one that fails the base rules.
-
-Two documents whose remaining lines agree are one document with copies, not two that share a
-line. So the distinct documents of a line are counted by a signature: the smallest hash among the
-document's other lines. A group of copies, exact or near, thereby never turns its own text into
-boilerplate; choosing one copy is the business of near-dedup.
+(the ``source``) the distinct documents that hold a line are counted, documents that agree in all
+their normalised lines as one, so exact copies do not deplete each other. Lines found in more than
+``limit`` documents, the larger of ``min_docs`` and ``share`` of the host's distinct documents, are
+boilerplate and are removed. A document that loses more than half its words is depleted and
+rejected, and so is one that fails the base rules. Near copies count as documents of their own: a
+group of them that is larger than the limit is boilerplate by this rule.
 
 All of it is Catalyst expressions. Words in repeated windows are found inside a row by sorting
 window hashes that carry their position in the low bits; equal neighbours are then checked on the
-words themselves, so the count is exact and costs n log n. Only line hashes are shuffled; counts
-combine before the shuffle and the join with the boilerplate lines is salted, so a line that a
-third of all documents hold spreads over ``SALTS`` keys.
+words themselves, so the count is exact and costs n log n. Only line hashes are shuffled; distinct
+(line, document) pairs spread by both, counts combine before their shuffle, and the join with the
+boilerplate lines is salted, so a line that a third of all documents hold spreads over ``SALTS``
+keys. Line hashes have 64 bits: a line meets only the boilerplate lines of its own host.
 
 Defined results: a null text counts as empty and fails the base rules; a null source is a host of
-its own; rows repeated in full each get the same verdict; an empty table gives an empty result;
-other columns are ignored, whatever their names.
+its own; a document whose only line is boilerplate is depleted; documents without a word do not
+count for their host; a line found in just ``limit`` documents stays; rows repeated in full each
+get the same verdict; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -117,15 +117,19 @@ def repeat_words(words: Column) -> Column:
     return F.coalesce(found, F.lit(0).cast("long"))
 
 
+def _keys(id_col: str, text_col: str, host_col: str) -> dict[str, Column]:
+    """128 bits over a row's id, host and text."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    i, host = F.col(f"`{id_col}`"), F.col(f"`{host_col}`")
+    return {"k1": F.xxhash64(i, host, text), "k2": F.xxhash64(F.lit(1), text, host, i)}
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     return docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(host_col).alias("host")
-    ).select(
-        "id",
-        "t",
-        "host",
-        F.xxhash64("id", "host", "t").alias("k1"),
-        F.xxhash64(F.lit(1), "t", "host", "id").alias("k2"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"),
+        F.col(f"`{host_col}`").alias("host"),
+        *(c.alias(n) for n, c in _keys(id_col, text_col, host_col).items()),
     )
 
 
@@ -141,45 +145,38 @@ def statistics(t: Column) -> dict[str, Column]:
     }
 
 
-def removed_words(keyed: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """``(k1, k2, lost)``: how many words of a document stand in its host's boilerplate lines."""
-    def hashed(line: Column) -> Column:
-        return let(
-            normalised(line), lambda x: F.struct(F.unhex(F.md5(x)).alias("h"), F.size(F.split(x, " ")).alias("n"))
-        )
+def _hashed_lines(t: Column) -> Column:
+    """struct(all, lines): a hash over all lines with a word, and struct(at, h, n) of each: its place
+    among all lines, the hash of its normalised form and its words."""
+    flat = F.regexp_replace(F.translate(t, UPPER, LOWER), r"[\x20\x09\x0B-\x0D]+", " ")
+    trimmed = F.transform(F.split(flat, "\n", -1), lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("x")))
+    lines = F.transform(
+        F.filter(trimmed, lambda r: r["x"] != ""),
+        lambda r: F.struct(
+            r["at"].alias("at"),
+            F.xxhash64(r["x"]).alias("h"),
+            (F.length(r["x"]) - F.length(F.translate(r["x"], " ", "")) + 1).alias("n"),
+        ),
+    )
+    return let(lines, lambda x: F.struct(F.xxhash64(F.transform(x, lambda r: r["h"])).alias("all"), x.alias("lines")))
 
-    def signed(lines: Column) -> Column:
-        """Each line with the smallest hash among the document's other lines."""
-        least = F.slice(F.sort_array(F.array_distinct(F.transform(lines, lambda x: x["h"]))), 1, 2)
-        return let(
-            least,
-            lambda two: F.transform(
-                lines,
-                lambda x: F.struct(
-                    x["h"].alias("h"),
-                    x["n"].alias("n"),
-                    F.when(x["h"] == two[0], F.get(two, F.lit(1))).otherwise(two[0]).alias("sign"),
-                ),
-            ),
-        )
 
+def boilerplate(keyed: DataFrame, min_docs: int, share: float) -> DataFrame:
+    """``(k1, k2, lost, cut)``: the places of a document's boilerplate lines and how many words they hold."""
+    scratch: list[DataFrame] = []
     # made inside the row and before the explode: an expression above it would run once a line
-    lines = let(F.transform(lines_of(F.col("t")), hashed), signed)
-    rows = settle(
-        keyed.select("k1", "k2", "host", F.posexplode(lines).alias("at", "line")).select("k1", "k2", "host", "at", "line.*"),
-        "quality-lines",
-        scratch := [],
-    )
-    host = F.coalesce("host", F.lit("")), F.col("host").isNull()
-    rows = rows.select("*", host[0].alias("g"), host[1].alias("g0"))
-    seen = rows.select("g", "g0", "h", F.coalesce("sign", F.lit("").cast("binary")).alias("sign")).distinct()
-    counts = seen.groupBy("g", "g0", "h").agg(F.count("*").alias("found"))
-    hosts = keyed.groupBy(host[0].alias("g"), host[1].alias("g0")).agg(F.count("*").alias("docs"))
+    found = keyed.select("k1", "k2", "host", _hashed_lines(F.col("t")).alias("f"))
+    rows = settle(found.select("k1", "k2", "host", F.col("f.all").alias("doc"), F.inline("f.lines")), "quality-lines", scratch)
+    rows = rows.select("*", F.coalesce("host", F.lit("")).alias("g"), F.col("host").isNull().alias("g0"))
+    counts = rows.select("g", "g0", "h", "doc").distinct().groupBy("g", "g0", "h").agg(F.count("*").alias("found"))
+    hosts = rows.select("g", "g0", "doc").distinct().groupBy("g", "g0").agg(F.count("*").alias("docs"))
     over = counts.filter(F.col("found") > min_docs).join(hosts, ["g", "g0"]).filter(F.col("found") > F.col("docs") * share)
     salted = over.select("g", "g0", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = settle(salted, "quality-frequent", scratch)
     hit = rows.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(salted, ["g", "g0", "h", "salt"])
     once = hit.groupBy("k1", "k2", "at").agg(F.max("n").alias("n"))  # rows repeated in full count once
-    lost = settle(once.groupBy("k1", "k2").agg(F.sum("n").alias("lost")), "quality-lost")
+    lost = once.groupBy("k1", "k2").agg(F.sum("n").alias("lost"), F.collect_list("at").alias("cut"))
+    lost = settle(lost, "quality-lost")
     discard(scratch)
     return lost
 
@@ -192,12 +189,12 @@ def judged(
     min_docs: int = MIN_DOCS,
     share: float = SHARE,
 ) -> DataFrame:
-    """Per row of ``docs``: k1, k2 (its key by content), id, the statistics, base_failed, lost, kept."""
+    """Per row of ``docs``: k1, k2 (its key by content), id, the statistics, base_failed, lost, cut, kept."""
     keyed = _keyed(docs, id_col, text_col, host_col)
     base = keyed.select("k1", "k2", "id", *(c.alias(n) for n, c in statistics(F.col("t")).items()))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return (
-        base.join(removed_words(keyed, min_docs, share), ["k1", "k2"], "left")
+        base.join(boilerplate(keyed, min_docs, share), ["k1", "k2"], "left")
         .withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("lost") * 2 <= F.col("n_words")))
@@ -220,19 +217,23 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
+    """The rows of ``docs`` that pass, with their own columns; boilerplate lines are gone from their texts."""
     id_col, text_col, host_col = (
         options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("host_col", "source"))
     )
-    passed = judged(docs, **options).filter("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns(
-        {
-            "__k1": F.xxhash64(F.col(id_col), F.col(host_col), text),
-            "__k2": F.xxhash64(F.lit(1), text, F.col(host_col), F.col(id_col)),
-        }
-    )
-    return keyed.join(passed, ["__k1", "__k2"], "left_semi").drop("__k1", "__k2")
+    passed = judged(docs, **options).filter("kept")
+    passed = passed.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("cut").alias("__cut"))
+    passed = settle(passed.dropDuplicates(["__k1", "__k2"]), "quality-passed")
+    keyed = docs.withColumns({f"__{n}": c for n, c in _keys(id_col, text_col, host_col).items()})
+
+    def without(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__cut")
+        return F.array_join(F.transform(stay, lambda i: lines[i]), "\n")
+
+    t = F.col(f"`{text_col}`")
+    clean = F.when(F.col("__cut").isNotNull(), let(F.split(t, "\n", -1), without)).otherwise(t)
+    joined = keyed.join(passed, ["__k1", "__k2"])
+    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same result in DuckDB's SQL.
@@ -246,19 +247,17 @@ WITH d AS (
   FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)
 ), c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM g) WHERE n > 1
 ), rep AS (SELECT r, count(DISTINCT i + j) AS n FROM c, (SELECT unnest([0, 1, 2]) AS j) GROUP BY r
-), l AS (SELECT r, host, unnest(string_split(t, chr(10))) AS line FROM d
+), l AS (SELECT r, host, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d
 ), lw AS (
-  SELECT r, host, line, md5(x) AS h, len(string_split(x, ' ')) AS n
-  FROM (SELECT r, host, line,
+  SELECT r, host, line, pos, md5(x) AS h, len(string_split(x, ' ')) AS n
+  FROM (SELECT r, host, line, pos,
           trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS x
         FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]'))
 ), dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY r
-), two AS (SELECT r, list_sort(list_distinct(list(h))) AS m FROM lw GROUP BY r
-), sign AS (
-  SELECT DISTINCT host, h, coalesce(CASE WHEN h = m[1] THEN m[2] ELSE m[1] END, '') AS s FROM lw JOIN two USING (r)
-), found AS (SELECT host, h, count(*) AS n FROM sign GROUP BY host, h
-), hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host
+), whole AS (SELECT r, host, md5(string_agg(h, '' ORDER BY pos)) AS doc FROM lw GROUP BY r, host
+), found AS (SELECT host, h, count(DISTINCT doc) AS n FROM lw JOIN (SELECT r, doc FROM whole) USING (r) GROUP BY host, h
+), hosts AS (SELECT host, count(DISTINCT doc) AS docs FROM whole GROUP BY host
 ), over_limit AS (
   SELECT f.host, f.h FROM found f JOIN hosts k ON f.host IS NOT DISTINCT FROM k.host
   WHERE f.n > 10 AND f.n > k.docs * 0.01

@@ -42,16 +42,51 @@ def unique(i, n=60):
     return " ".join(f"w{i}x{j}" for j in range(n))
 
 
-def test_boilerplate_depletes_and_copies_do_not(spark):
-    banner = " ".join(f"cookie{j}" for j in range(80))
-    rows = [(i, unique(i) + "\n" + banner, "h") for i in range(30)]  # over half of each is boilerplate
-    rows += [(100 + i, unique(100 + i), "h") for i in range(30)]  # clean
-    rows += [(200 + i, unique(200) + "\n" + unique(201), "h") for i in range(30)]  # copies
-    rows += [(300, unique(300) + "\n" + banner, "other")]  # the line is rare on its host
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = {r.doc_id for r in quality.digest(df).filter("kept").collect()}
-    assert kept == {*range(100, 130), *range(200, 230), 300}
-    assert {r.doc_id for r in quality.keep(df).collect()} == kept and quality.keep(df).columns == df.columns
+def rule(rows, min_docs=10, share=0.01):
+    """Kept ids and cleaned texts of (id, text, host) rows, in plain Python."""
+    norm = lambda x: " ".join(w for w in SPACE.split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)) if w)
+    held, hosts = defaultdict(set), defaultdict(set)
+    for _, t, host in rows:
+        lines = [norm(x) for x in (t or "").split("\n") if norm(x)]
+        if lines:
+            hosts[host].add(tuple(lines))
+        for x in lines:
+            held[host, x].add(tuple(lines))
+    over = {k for k, docs in held.items() if len(docs) > min_docs and len(docs) > share * len(hosts[k[0]])}
+    out = []
+    for i, t, host in rows:
+        lines = (t or "").split("\n")
+        lost = sum(len(norm(x).split(" ")) for x in lines if (host, norm(x)) in over)
+        if not base(t)[-1] and lost * 2 <= base(t)[0]:
+            out.append((i, "\n".join(x for x in lines if (host, norm(x)) not in over)))
+    return out
+
+
+def test_line_frequency_against_a_plain_model(spark):
+    menu = [f"Menu{j}  entry{j} of{j} site{j}" for j in range(20)]
+    rows = [(i, "\n".join([*menu, unique(i)]), "menus") for i in range(25)]  # menus of many lines
+    rows += [(50 + i, "\n".join([*menu, unique(50 + i, 200)]), "long") for i in range(25)]
+    rows += [(100 + i, unique(100), "copies") for i in range(30)]
+    rows += [(150 + i, unique(150 + i), "clean") for i in range(30)]
+    rows += [(200 + i, unique(200) if i % 2 else unique(200).upper() + f"\n x{i}", "one line") for i in range(30)]
+    rows += [(300 + i, "\n".join([unique(300 + i), " SHARED  line\tof null ", "", ""]), None) for i in range(12)]
+    rows += [(400 + i, unique(400 + i) + "\nat the limit", "ties") for i in range(10)]
+    rows += [(500, "\n".join([*menu, unique(1, 90)]), "rare here"), (501, None, "menus"), (502, "", None), (None, unique(7), None), (None, unique(7), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want = rule(rows)
+    got = quality.keep(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert sorted((r.doc_id for r in quality.digest(df).filter("kept").collect()), key=str) == sorted((i for i, _ in want), key=str)
+    kept = {i for i, _ in want}
+    assert not kept & set(range(25)) and kept >= {*range(50, 75), *range(100, 130), *range(150, 180), *range(300, 312), 500}
+    assert all("Menu" not in t for i, t in want if i != 500) and all("limit" in t for i, t in want if i in range(400, 410))
+
+
+def test_no_python_in_the_plan(docs):
+    for made in (quality.digest, quality.keep):
+        plan = made(docs([(1, "a b c")]))._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
 
 
 def test_empty(docs):
