@@ -1,24 +1,34 @@
 """Personal data: base patterns, and terms that give a protected entity away.
 
-Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. The method adds
-spans of terms by information-theoretic sanitisation: over the whole corpus it is counted in how
-many documents a term stands near an entity (``REACH`` characters), and in how many it stands at
-all. A term discloses an entity if seeing it makes the entity at least ``CHANCE`` likely, with a
-pointwise mutual information of ``BITS`` bits or more, and if at least ``SUPPORT`` different texts
-say so. Such terms are generalised in the neighbourhood of the entity, as base spans are.
+Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. The method adds spans
+of terms by information-theoretic sanitisation. An entity is a normalised match: an address in lower
+case, the digits of a number. Over the whole corpus it is counted in how many distinct texts a term
+stands, and in how many of them together with an entity, anywhere in the text. With ``SMOOTH`` added
+to the texts of the term, that estimates P(entity given term), and the term's pointwise mutual
+information with the entity as a share of the entity's information content. A term that exceeds both
+thresholds, ``CHANCE`` and ``SHARE``, discloses the entity and is generalised wherever it stands, in
+texts without the entity too. Terms are words (letters and digits) and pairs of neighbouring words,
+so names of two words count also where each word is common; a pair is left out where one of its
+words discloses already.
+
+Witnesses: a term's texts with an entity count once per context (``AROUND`` words before the term
+and after it where it first stands), so copies of one text are one witness, near copies hardly more, and disclose nothing
+by themselves. An entity in a single text therefore has no disclosing terms.
 
 All of it is Catalyst expressions. Matches and the gaps between them give positions: ``split`` and
-``regexp_extract_all`` run the same matcher loop. The patterns have possessive quantifiers and a
-look-behind where that cannot change a match: no backtracking over long runs, no deep recursion.
+``regexp_extract_all`` run the same matcher loop; positions are prefix sums, made in blocks of
+sqrt(n) so that a text of many matches costs n * sqrt(n) at most. The patterns have possessive
+quantifiers and a look-behind where that cannot change a match: no backtracking over long runs.
 
-Only documents with an entity give co-occurrence rows; the counts of terms over all documents are
-of 64-bit hashes, distinct in a document, combined before the shuffle. Copies are counted as
-documents for the probabilities but as one text for the support. Documents are joined by a 128-bit
-hash of their text, so a hot group of copies is one key of one small row.
+Scale: only entities in two distinct texts or more are followed, and only terms that stand beside
+such an entity in two contexts; hashes of these candidates are looked up in all texts, by a
+broadcast up to ``sized_broadcast``'s bound and by a shuffle beyond. Counts combine before they are
+shuffled. Texts are keyed by a 128-bit hash, so a hot group of copies is one key of one small row.
 
 Defined results: null texts are empty; rows repeated in full repeat their spans; a text of white
-space has none; an empty table gives an empty result; columns other than id and text are ignored by
-``spans`` and kept by ``sanitise``.
+space has none; words inside base spans are no evidence; an empty table gives an empty result; columns
+other than id and text are ignored by ``spans`` and kept by ``sanitise``; ties of P or information
+at a threshold disclose.
 """
 
 from __future__ import annotations
@@ -27,15 +37,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.quality import let
-from tesserae.runtime import settle
+from tesserae.runtime import discard, settle, sized_broadcast
 
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"\p{L}{4,}"
-REACH, CHANCE, BITS, SUPPORT = 80, 0.5, 3.0, 3
+WORD = r"[\p{L}\p{N}]++"
+CHANCE, SHARE, SMOOTH, WITNESSES, AROUND = 0.5, 0.75, 2.0, 2, 3
 
 
 def _digits(match: Column) -> Column:
@@ -69,22 +79,48 @@ def _phone_holds(match: Column) -> Column:
     return F.length(_digits(match)).between(10, 15)
 
 
+def _prefix(values: Column, zero: Column, join) -> Column:
+    """Running ``join`` of an array, each element included, in blocks of sqrt(n)."""
+
+    def run(xs: Column, first: Column) -> Column:
+        none = F.filter(F.array(zero), lambda _: F.lit(False))
+        step = lambda acc, x: F.concat(acc, F.array(join(F.coalesce(F.try_element_at(acc, F.lit(-1)), first), x)))
+        return F.aggregate(xs, none, step)
+
+    def whole(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(v), width)
+        blocks = F.transform(starts, lambda at: run(F.slice(v, at, width), zero))
+
+        def joined(inner: Column) -> Column:
+            ahead = run(F.transform(inner, lambda b: F.element_at(b, -1)), zero)
+            return let(
+                ahead,
+                lambda a: F.flatten(
+                    F.transform(
+                        inner, lambda b, k: F.transform(b, lambda x: F.when(k == 0, x).otherwise(join(F.get(a, k - 1), x)))
+                    )
+                ),
+            )
+
+        return F.when(F.size(v) > 0, let(blocks, joined)).otherwise(F.filter(F.array(zero), lambda _: F.lit(False)))
+
+    return let(values, whole)
+
+
 def located(text: Column, pattern: str, shape, keep=None) -> Column:
     """Array of ``shape(start, end, match)`` over the matches that ``keep``; code points, end exclusive."""
 
     def walk(gaps: Column, hits: Column) -> Column:
-        probe = shape(F.lit(0), F.lit(0), F.lit(""))
-        zero = F.struct(F.lit(0).alias("at"), F.filter(F.array(probe), lambda _: F.lit(False)).alias("out"))
+        sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(gaps[i])
-            end = start + F.length(hits[i])
-            out = F.concat(acc["out"], F.array(shape(start, end, hits[i])))
+        def placed(ends: Column) -> Column:
+            kept = F.sequence(F.lit(0), F.size(hits) - 1)
             if keep is not None:
-                out = F.when(keep(hits[i]), out).otherwise(acc["out"])
-            return F.struct(end.alias("at"), out.alias("out"))
+                kept = F.filter(kept, lambda i: keep(hits[i]))
+            return F.transform(kept, lambda i: shape(ends[i] - F.length(hits[i]), ends[i], hits[i]))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step, lambda acc: acc["out"])
+        return let(_prefix(sizes, F.lit(0), lambda x, y: x + y), placed)
 
     none = F.filter(F.array(shape(F.lit(0), F.lit(0), F.lit(""))), lambda _: F.lit(False))
     return let(
@@ -113,80 +149,165 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _near_terms(text: Column, base: Column) -> Column:
-    """Array of struct(e, t, start, end): the terms around each base span, cut words left out."""
-    shape = lambda start, end, m: F.struct(
-        F.xxhash64(F.lower(m)).alias("t"), start.alias("start"), end.alias("end")
-    )
+def _replaced(text: Column, found: Column, labels: Column) -> Column:
+    """``text`` with the sorted spans ``found`` replaced by ``labels[kind]``; spans that overlap become one.
 
-    def window(lo: Column, hi: Column, entity: Column, head: bool) -> Column:
-        def moved(found: Column) -> Column:
-            size = hi - lo
-            whole = F.filter(
-                found, lambda x: ((x["start"] > 0) | (lo == 0)) if head else ((x["end"] < size) | (hi >= F.length(text)))
-            )
-            return F.transform(
-                whole,
-                lambda x: F.struct(
-                    entity.alias("e"), x["t"].alias("t"), (x["start"] + lo).alias("start"), (x["end"] + lo).alias("end")
-                ),
-            )
+    A block of sqrt(n) spans is cut out of the text first and its pieces out of the block, since a
+    substring costs its distance from the beginning."""
 
-        return let(F.substring(text, lo + 1, hi - lo), lambda w: let(located(w, TERM, shape), moved))
+    def pieces(ends: Column) -> Column:
+        n = F.size(found)
+        width = F.ceil(F.sqrt(n)).cast("int")
 
-    def around(s: Column) -> Column:
-        entity = F.xxhash64(s["kind"], F.substring(text, s["start"] + 1, s["end"] - s["start"]))
-        return let(
-            entity,
-            lambda e: F.concat(
-                window(F.greatest(s["start"] - REACH, F.lit(0)), s["start"], e, True),
-                window(s["end"], s["end"] + REACH, e, False),
-            ),
-        )
+        def block(first: Column) -> Column:
+            last = F.least(first + width, n) - 1
+            begin = F.when(first == 0, 0).otherwise(F.get(ends, first - 1))
+            part = F.substring(text, begin + 1, F.get(ends, last) - begin)
 
-    return F.flatten(F.transform(base, around))
+            def cut(p: Column) -> Column:
+                def one(i: Column) -> Column:
+                    ahead = F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+                    plain = F.substring(p, ahead - begin + 1, found[i]["start"] - ahead)
+                    return F.when(found[i]["start"] >= ahead, F.concat(plain, labels[found[i]["kind"]])).otherwise("")
 
+                return F.array_join(F.transform(F.sequence(first, last), one), "")
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, k1, k2, base, terms)`` per row: sorted arrays of struct(start, kind, end)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    keyed = texts.select("id", "t", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"))
-    held = keyed.withColumn("base", base_spans(F.col("t")))
-    near = F.when(F.size("base") > 0, _near_terms(F.col("t"), F.col("base")))
-    held = settle(held.select("id", "k1", "k2", "base", near.alias("near")), "privacy-base")
-    rows = held.filter("near IS NOT NULL").select("k1", "k2", F.inline("near"))
-    entities = (
-        held.filter("size(base) > 0")
-        .select("k1", "k2", F.explode(F.array_distinct(F.transform("near", lambda x: x["e"]))).alias("e"))
-        .groupBy("e")
-        .agg(F.count("*").alias("n_e"))
-    )
-    together = (
-        held.filter("near IS NOT NULL")
-        .select("k1", "k2", F.inline(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))))
-        .groupBy("e", "t", "k1", "k2")
-        .agg(F.count("*").alias("n"))
-        .groupBy("e", "t")
-        .agg(F.sum("n").alias("n_et"), F.count("*").alias("texts"))
-        .filter(F.col("texts") >= SUPPORT)
-    )
-    words = F.transform(F.regexp_extract_all("t", F.lit(TERM), 0), lambda m: F.xxhash64(F.lower(m)))
-    terms = texts.select(F.explode(F.array_distinct(words)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    total = texts.agg(F.count("*").alias("total"))
-    scored = together.join(entities, "e").join(terms, "t").join(F.broadcast(total))  # total is one row
-    telling = scored.filter(
-        (F.col("n_et") >= F.col("n_t") * CHANCE)
-        & (F.log2(F.col("n_et") * F.col("total") / (F.col("n_e") * F.col("n_t"))) >= BITS)
-    ).select("e", "t")
-    found = (
-        rows.join(telling, ["e", "t"])
-        .groupBy("k1", "k2")
-        .agg(F.sort_array(F.collect_set(F.struct("start", F.lit(4).alias("kind"), "end"))).alias("terms"))
+            return let(part, cut)
+
+        told = F.transform(F.sequence(F.lit(0), n - 1, width), block)
+        rest = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
+        return F.array_join(F.concat(told, F.array(rest)), "")
+
+    ends = _prefix(F.transform(found, lambda s: s["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
+    return F.when(F.size(found) > 0, let(ends, pieces)).otherwise(text)
+
+
+def _entities(text: Column, base: Column) -> Column:
+    """Hashes of the distinct normalised matches."""
+
+    def entity(s: Column) -> Column:
+        match = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+        parts = F.transform(F.split(match, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", ""))
+        number = F.when(s["kind"] == 1, F.array_join(parts, ".")).otherwise(_digits(match))
+        return F.xxhash64(s["kind"], F.when(s["kind"] == 0, F.lower(match)).otherwise(number))
+
+    return F.array_distinct(F.transform(base, entity))
+
+
+def _words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.xxhash64(F.lower(w)))
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def _terms(text: Column) -> Column:
+    """Hashes of the distinct words and pairs of neighbouring words."""
+    pairs = lambda w: F.transform(w, lambda x, i: F.when(i > 0, _pair(F.get(w, i - 1), x)))
+    return let(_words(text), lambda w: F.array_compact(F.array_distinct(F.concat(w, pairs(w)))))
+
+
+def _in_context(text: Column) -> Column:
+    """struct(t, at, c): terms, their places and a hash of the words before and after each."""
+
+    def all_of(w: Column) -> Column:
+        ahead = lambda i: F.slice(w, F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND)))
+        told = lambda t, i, j: F.struct(t.alias("t"), i.alias("at"), F.xxhash64(ahead(i), F.lit(0), F.slice(w, j + 2, F.lit(AROUND))).alias("c"))
+        single = F.transform(w, lambda x, i: told(x, i, i))
+        double = F.transform(w, lambda x, i: F.when(i > 0, told(_pair(F.get(w, i - 1), x), F.greatest(i - 1, F.lit(0)), i)))
+        return F.array_compact(F.concat(single, double))
+
+    return let(_words(text), all_of)
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return docs.select(t.alias("t")).select("t", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"))
+
+
+def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame | None:
+    """``(k1, k2, tells)``: for each text that holds disclosing terms, their hashes; None if no term can be one."""
+    texts = _keyed(docs, text_col)
+    scratch: list[DataFrame] = []
+    base = base_spans(F.col("t"))
+    told = texts.select("k1", "k2", let(base, lambda b: F.when(F.size(b) > 0, _entities(F.col("t"), b))).alias("es"))
+    held = settle(told.filter("es IS NOT NULL").select("k1", "k2", F.explode("es").alias("e")), "privacy-entities", scratch)
+    rare = held.distinct().groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= WITNESSES)
+    spread = settle(rare, "privacy-spread", scratch)
+    if spread.isEmpty():
+        discard(scratch)
+        return None
+    follow = settle(held.distinct().join(sized_broadcast(spread), "e"), "privacy-followed", scratch)
+    wanted = settle(follow.select("k1", "k2").distinct(), "privacy-wanted", scratch)
+    near = texts.join(sized_broadcast(wanted), ["k1", "k2"])
+    blank = F.array(*[F.lit("\n")] * len(KINDS))
+    near = near.withColumn("t", let(base, lambda b: _replaced(F.col("t"), b, blank)))
+    seen = near.select("k1", "k2", F.inline(_in_context(F.col("t"))))
+    seen = seen.groupBy("k1", "k2", "t").agg(F.min(F.struct("at", "c")).alias("first"))
+    together = follow.join(seen, ["k1", "k2"]).groupBy("e", "n_e", "t", "first.c").agg(F.count("*").alias("n"))
+    together = together.groupBy("e", "n_e", "t").agg(F.count("*").alias("witnesses")).filter(F.col("witnesses") >= WITNESSES)
+    together = settle(together, "privacy-together", scratch)
+    candidates = settle(together.select("t").distinct(), "privacy-candidates", scratch)
+    every = texts.select("k1", "k2", F.explode(_terms(F.col("t"))).alias("t"))
+    found = settle(every.join(sized_broadcast(candidates), "t").distinct(), "privacy-found", scratch)
+    counts = found.groupBy("t").agg(F.count("*").alias("n_t"))
+    total = texts.select("k1", "k2").distinct().agg(F.count("*").alias("total"))
+    chance = F.col("witnesses") / (F.col("n_t") + SMOOTH)
+    content = F.log2(F.col("total") / F.col("n_e"))
+    shared = F.log2(chance * F.col("total") / F.col("n_e"))
+    telling = (
+        together.join(counts, "t")
+        .join(F.broadcast(total))  # one row
+        .filter((chance >= CHANCE) & (content > 0) & (shared >= content * SHARE))
+        .select("t")
+        .distinct()
     )
-    none = F.filter("base", lambda _: F.lit(False))
-    return held.join(found, ["k1", "k2"], "left").select(
-        "id", "k1", "k2", "base", F.coalesce("terms", none).alias("terms")
+    telling = settle(telling, "privacy-telling", scratch)
+    tells = found.join(sized_broadcast(telling), "t").groupBy("k1", "k2").agg(F.collect_set("t").alias("tells"))
+    tells = settle(tells, "privacy-tells")
+    discard(scratch)
+    return tells
+
+
+def _term_spans(text: Column, tells: Column) -> Column:
+    """Spans of the words whose hash is among ``tells``, and of such pairs of other words."""
+    shape = lambda start, end, m: let(
+        F.xxhash64(F.lower(m)),
+        lambda t: F.struct(t.alias("t"), start.alias("start"), end.alias("end"), F.array_contains(tells, t).alias("told")),
     )
+    span = lambda start, end: F.struct(start.alias("start"), F.lit(4).alias("kind"), end.alias("end"))
+
+    def of(w: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.get(w, i - 1)
+            pair = (i > 0) & ~before["told"] & F.array_contains(tells, _pair(before["t"], x["t"]))
+            return F.when(x["told"], span(x["start"], x["end"])).when(pair, span(before["start"], x["end"]))
+
+        return F.array_compact(F.transform(w, one))
+
+    return let(located(text, WORD, shape), of)
+
+
+def _marked(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``__base`` and ``__terms``, sorted arrays of struct(start, kind, end)."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    with_base = docs.withColumn("__base", base_spans(text))
+    none = F.filter("__base", lambda _: F.lit(False))
+    tells = disclosing(docs, text_col)
+    if tells is None:
+        return with_base.withColumn("__terms", none)
+    tells = tells.withColumnsRenamed({"k1": "__k1", "k2": "__k2", "tells": "__tells"})
+    keyed = with_base.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(1), text)})
+    joined = keyed.join(sized_broadcast(tells, 20_000), ["__k1", "__k2"], "left")
+    terms = F.when(F.col("__tells").isNotNull(), F.sort_array(_term_spans(text, F.col("__tells"))))
+    return joined.withColumn("__terms", F.coalesce(terms, none)).drop("__k1", "__k2", "__tells")
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, base, terms)`` per row: sorted arrays of struct(start, kind, end)."""
+    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
+    return _marked(slim, "t").select("id", F.col("__base").alias("base"), F.col("__terms").alias("terms"))
 
 
 def _told(found: Column) -> Column:
@@ -213,32 +334,8 @@ def digest(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span in ``text_col`` generalised to its kind in brackets; spans that
     overlap become one. A null text stays null."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = (
-        spans(docs, id_col, text_col)
-        .filter("size(base) > 0")
-        .select(
-            F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.sort_array(F.concat("base", "terms")).alias("__spans")
-        )
-        .dropDuplicates(["__k1", "__k2"])
-    )
-    keyed = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(1), text)})
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    t = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), labels[s["kind"]])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out")
-        )
-
-    clean = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
-    )
-    made = F.when(t.isNotNull() & F.col("__spans").isNotNull(), clean).otherwise(t)
-    joined = keyed.join(found, ["__k1", "__k2"], "left")
-    return joined.select(*[made.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    t = F.col(f"`{text_col}`")
+    clean = let(F.sort_array(F.concat("__base", "__terms")), lambda found: _replaced(t, found, labels))
+    made = F.when(t.isNotNull(), clean)
+    return _marked(docs, text_col).select(*[made.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -1,10 +1,13 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
 from tesserae.llm import privacy
+from tesserae.runtime import sized_broadcast
 
 
 def luhn(digits):
@@ -50,16 +53,102 @@ def test_base_against_brute_force(docs, odd):
     assert privacy.digest(docs(rows).filter("doc_id < 0")).count() == 0
 
 
-def test_disclosing_terms(docs):
-    rows = [(i, f"note {i} from zanzibar office write to boss@acme.com today please number {i}") for i in range(6)]
+WORD = re.compile(r"[^\W_]+")
+
+
+def term_rule(rows):
+    """Disclosing terms (words, or pairs of words) of (id, text) rows, in plain Python."""
+    texts = {t or "" for _, t in rows}
+
+    def entities(t):
+        for m, k in ((m, k) for k, (_, p, ok) in enumerate(RULES) for m in re.finditer(p, t) if ok(m[0])):
+            yield m.span(), (k, m[0].lower() if k == 0 else ".".join(str(int(x)) for x in m[0].split(".")) if k == 1 else digits(m[0]))
+
+    def terms(words):
+        for i, w in enumerate(words):
+            yield (w,), i, i
+            if i:
+                yield (words[i - 1], w), i - 1, i
+
+    with_e, contexts, n_t = defaultdict(set), defaultdict(set), Counter()
+    for t in texts:
+        n_t.update({x for x, _, _ in terms([w.lower() for w in WORD.findall(t)])})
+        found = sorted(entities(t))
+        blank, at = "", 0
+        for (a, b), _ in found:
+            blank += t[at:a] + "\n" if a >= at else ""
+            at = max(at, b)
+        words = [w.lower() for w in WORD.findall(blank + t[at:])]
+        for e in {e for _, e in found}:
+            with_e[e].add(t)
+            first = {}
+            for x, i, j in terms(words):
+                first.setdefault(x, (tuple(words[max(0, i - 3) : i]), tuple(words[j + 1 : j + 4])))
+            for x, c in first.items():
+                contexts[e, x].add(c)
+    out = set()
+    for (e, x), c in contexts.items():
+        p, whole = len(c) / (n_t[x] + 2), math.log2(len(texts) / len(with_e[e]))
+        if len(with_e[e]) > 1 and len(c) > 1 and whole > 0 and p >= 0.5 and math.log2(p * len(texts) / len(with_e[e])) >= 0.75 * whole:
+            out.add(x)
+    return out
+
+
+def term_spans(text, telling):
+    found = [(m.group().lower(), m.start(), m.end()) for m in WORD.finditer(text or "")]
+    out = []
+    for i, (w, a, b) in enumerate(found):
+        if (w,) in telling:
+            out.append(f"term:{a}:{b}")
+        elif i and (found[i - 1][0],) not in telling and (found[i - 1][0], w) in telling:
+            out.append(f"term:{found[i - 1][1]}:{b}")
+    return sorted(out)
+
+
+def test_term_rule_against_a_plain_model(docs, odd, monkeypatch):
+    rng = random.Random(9)
+    rare = {0: ["zanzibar", "Quorra"], 1: ["obelisk"], 2: ["mei lin"], 3: []}
+    mails = {0: "Boss@acme.com", 1: "10.0.0.7", 2: "+1 (979) 555-6697", 3: "4111 1111 1111 1111"}
+    rows = list(odd)
+    for i in range(300):
+        words = [rng.choice(["note", "from", "the", "office", "mei", "lin", "of", "today", "3"]) for _ in range(rng.randint(3, 30))]
+        k = rng.randrange(20)
+        if k in mails:
+            for extra in [rng.choice([mails[k], mails[k].lower()]), *rare[k]]:
+                words.insert(rng.randint(0, len(words)), extra)
+        elif k == 19:
+            words.insert(1, "ZANZIBAR")
+        rows.append((1000 + i, " ".join(words)))
+    telling = term_rule(rows)
+    assert {("zanzibar",), ("quorra",), ("obelisk",)} <= telling and ("note",) not in telling
+    for bound in (200_000, 0):  # candidates by broadcast and by shuffle
+        monkeypatch.setattr(privacy, "sized_broadcast", lambda df, most=bound: sized_broadcast(df, min(most, bound)))
+        got = privacy.digest(docs(rows)).collect()
+        assert sorted(((r.doc_id, sorted(x for x in r.spans.split(",") if x[:4] == "term")) for r in got), key=str) == sorted(
+            ((i, term_spans(t, telling)) for i, t in rows), key=str
+        )
+
+
+def test_terms_go_wherever_they_stand(docs):
+    rows = [(i, f"note {i} from zanzibar office write to boss@acme.com today please {i}") for i in range(6)]
     rows += [(100 + i, f"note from today office please write {i}") for i in range(200)]
+    rows += [(400, "a note from Zanzibar today")]
     got = {r.doc_id: r.spans for r in privacy.digest(docs(rows)).collect()}
     text = rows[0][1]
     a, e = text.index("zanzibar"), text.index("boss@")
     assert got[0].split(",")[0] == f"term:{a}:{a + 8}" and f"email:{e}:{e + 13}" in got[0].split(",")
-    assert "term" not in got[100]
+    assert got[100] == "" and got[400] == "term:12:20"
     clean = {r.doc_id: r.text for r in privacy.sanitise(docs(rows)).collect()}
-    assert clean[0].startswith("note 0 from [TERM] office") and "[EMAIL]" in clean[0] and clean[100] == rows[6][1]
+    assert clean[0].startswith("note 0 from [TERM] ") and "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rows[6][1]
+    assert clean[400] == "a note from [TERM] today"
+
+
+def test_many_matches_in_one_text(docs):
+    text = " ".join(f"x{i}@d{i}.org, 10.1.{i % 250}.9;" for i in range(8000))
+    df = docs([(1, text)])
+    row = privacy.digest(df).first()
+    assert (row.doc_id, row.n_email, row.n_ip, row.base_sha256) == (1, 8000, 8000, brute(text)[-1])
+    assert privacy.sanitise(df).first().text == " ".join(["[EMAIL], [IP];"] * 8000)
 
 
 def test_copies_alone_disclose_nothing(docs):
