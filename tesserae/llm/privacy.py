@@ -131,22 +131,26 @@ def located(text: Column, pattern: str, shape, keep=None) -> Column:
     )
 
 
-def base_spans(text: Column) -> Column:
-    """Sorted array of struct(start, kind, end), kind as a place in KINDS; ``text`` is not null."""
+def _matches(text: Column, shape) -> list[Column]:
+    """For each kind the array of ``shape(kind, start, end, match)`` of its matches; ``text`` is not null."""
 
     def of(kind: int, pattern: str, maybe: Column, keep=None) -> Column:
-        shape = lambda start, end, _: F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        none = F.filter(F.array(shape(F.lit(0), F.lit(0), None)), lambda _: F.lit(False))
-        return F.when(maybe, located(text, pattern, shape, keep)).otherwise(none)
-
-    return F.sort_array(
-        F.concat(
-            of(0, EMAIL, F.contains(text, F.lit("@"))),
-            of(1, IP, text.rlike(r"[0-9]\.[0-9]"), _ip_holds),
-            of(2, CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), _luhn),
-            of(3, PHONE, F.contains(text, F.lit("+")), _phone_holds),
-        )
-    )
+        own = lambda start, end, match: shape(F.lit(kind), start, end, match)
+        none = F.filter(F.array(own(F.lit(0), F.lit(0), F.lit(""))), lambda _: F.lit(False))
+        return F.when(maybe, located(text, pattern, own, keep)).otherwise(none)
+
+    return [
+        of(0, EMAIL, F.contains(text, F.lit("@"))),
+        of(1, IP, text.rlike(r"[0-9]\.[0-9]"), _ip_holds),
+        of(2, CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), _luhn),
+        of(3, PHONE, F.contains(text, F.lit("+")), _phone_holds),
+    ]
+
+
+def base_spans(text: Column) -> Column:
+    """Sorted array of struct(start, kind, end), kind as a place in KINDS; ``text`` is not null."""
+    shape = lambda kind, start, end, _: F.struct(start.alias("start"), kind.alias("kind"), end.alias("end"))
+    return F.sort_array(F.concat(*_matches(text, shape)))
 
 
 def _replaced(text: Column, found: Column, labels: Column) -> Column:
@@ -182,16 +186,15 @@ def _replaced(text: Column, found: Column, labels: Column) -> Column:
     return F.when(F.size(found) > 0, let(ends, pieces)).otherwise(text)
 
 
-def _entities(text: Column, base: Column) -> Column:
+def _entities(text: Column) -> Column:
     """Hashes of the distinct normalised matches."""
 
-    def entity(s: Column) -> Column:
-        match = F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    def entity(kind: Column, start: Column, end: Column, match: Column) -> Column:
         parts = F.transform(F.split(match, r"\."), lambda p: F.regexp_replace(p, "^0+(?=.)", ""))
-        number = F.when(s["kind"] == 1, F.array_join(parts, ".")).otherwise(_digits(match))
-        return F.xxhash64(s["kind"], F.when(s["kind"] == 0, F.lower(match)).otherwise(number))
+        number = F.when(kind == 1, F.array_join(parts, ".")).otherwise(_digits(match))
+        return F.xxhash64(kind, F.when(kind == 0, F.lower(match)).otherwise(number))
 
-    return F.array_distinct(F.transform(base, entity))
+    return F.array_distinct(F.concat(*_matches(text, entity)))
 
 
 def _words(text: Column) -> Column:
@@ -230,9 +233,8 @@ def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame | None:
     """``(k1, k2, tells)``: for each text that holds disclosing terms, their hashes; None if no term can be one."""
     texts = _keyed(docs, text_col)
     scratch: list[DataFrame] = []
-    base = base_spans(F.col("t"))
-    told = texts.select("k1", "k2", let(base, lambda b: F.when(F.size(b) > 0, _entities(F.col("t"), b))).alias("es"))
-    held = settle(told.filter("es IS NOT NULL").select("k1", "k2", F.explode("es").alias("e")), "privacy-entities", scratch)
+    told = texts.select("k1", "k2", F.explode(_entities(F.col("t"))).alias("e"))
+    held = settle(told, "privacy-entities", scratch)
     rare = held.distinct().groupBy("e").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= WITNESSES)
     spread = settle(rare, "privacy-spread", scratch)
     if spread.isEmpty():
@@ -242,7 +244,7 @@ def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame | None:
     wanted = settle(follow.select("k1", "k2").distinct(), "privacy-wanted", scratch)
     near = texts.join(sized_broadcast(wanted), ["k1", "k2"])
     blank = F.array(*[F.lit("\n")] * len(KINDS))
-    near = near.withColumn("t", let(base, lambda b: _replaced(F.col("t"), b, blank)))
+    near = near.withColumn("t", let(base_spans(F.col("t")), lambda b: _replaced(F.col("t"), b, blank)))
     seen = near.select("k1", "k2", F.inline(_in_context(F.col("t"))))
     seen = seen.groupBy("k1", "k2", "t").agg(F.min(F.struct("at", "c")).alias("first"))
     together = follow.join(seen, ["k1", "k2"]).groupBy("e", "n_e", "t", "first.c").agg(F.count("*").alias("n"))
