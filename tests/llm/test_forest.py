@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -49,7 +51,7 @@ def test_against_brute_force(spark):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("cap", [16, 2048])
+@pytest.mark.parametrize("cap", [16, 4096])
 def test_recall_with_deep_trees_and_blocks(spark, monkeypatch, cap):
     monkeypatch.setattr(forest, "LEAF_CAP", cap)
     rows = near_rows(600, 2)
@@ -59,5 +61,62 @@ def test_recall_with_deep_trees_and_blocks(spark, monkeypatch, cap):
     assert sum(r.n_links for r in out) >= 0.98 * sum(r[1] for r in want.values())
 
 
+def test_group_of_near_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(forest, "LEAF_CAP", 64)
+    monkeypatch.setattr(forest, "STEP", 16)
+    rng = np.random.default_rng(4)
+    core = rng.standard_normal(16)
+    rows = [(i, [float(np.float32(x)) for x in core + rng.standard_normal(16) * 0.12]) for i in range(400)]
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(5000)] + [(None, rows[0][1]), (None, None), (None, [5.0] * 15 + [-9.0])]
+    got = {r.vec_id: r for r in forest.digest(made(spark, rows)).collect() if r.vec_id is not None}
+    want = brute([r for r in rows[:400]])
+    unit = np.array([r[1] for r in rows[:400]])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    times = np.ones(400, int)
+    for i in range(5000):
+        times[i % 7] += 1
+    times[0] += 1
+    near = unit @ unit.T >= 0.95
+    for i in range(400):
+        assert got[i].n_links == (near[i] * times).sum() - 1, i
+        assert got[i].component_id == want[i][2]
+
+
+def test_labels_of_a_long_chain():
+    n = 300
+    turn = np.linspace(0, 1.5, n)
+    unit = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    cid = np.random.default_rng(1).permutation(n)
+    least = math.cos(turn[1]) - 1e-9  # a link to the next one only
+    none = np.zeros(0, np.int64)
+    for second in (None, np.arange(n) % 2 == 1):
+        found = forest.compare_leaf(0, cid, unit, np.ones(n, np.int64), none, np.zeros(n, np.int64), second, least)
+        assert len(forest.compare_leaf(0, cid, unit, np.ones(n, np.int64), none, np.zeros(n, np.int64), np.zeros(n, bool), least)[0]) == 0
+        assert len(found[0]) == n and set(found[2]) == {0} and sorted(found[1]) == [1, 1] + [2] * (n - 2)
+
+
+def test_deep_forest_keeps_its_thresholds_small_and_its_recall(monkeypatch):
+    """14 levels over 60,000 vectors with planted pairs at the threshold and above."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = rng.uniform(0.95, 0.99, 3000)
+    side = rng.standard_normal((3000, 64))
+    side -= (side * x[:3000]).sum(axis=1, keepdims=True) * x[:3000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    pairs = cosine[:, None] * x[:3000] + np.sqrt(1 - cosine**2)[:, None] * side
+    width = 0.25 * math.sqrt(0.1) / 8
+    trees = forest.Forest(x[: forest.SAMPLE], 64, 14, forest.TREES, width)
+    assert max(len(c) for t in trees.cuts for c in t) <= 1 << forest.FITTED
+    homes = []
+    for rows in (x[:3000], pairs):
+        row, leaf = trees.leaves(rows)
+        homes.append([set(h.tolist()) for h in np.split(leaf, np.searchsorted(row, np.arange(1, 3000)))])
+    recall = sum(bool(a & b) for a, b in zip(*homes, strict=True)) / 3000
+    copies = sum(map(len, homes[0])) / 3000 / forest.TREES
+    row, leaf = trees.leaves(x)
+    assert recall >= 0.97 and copies < 3 and np.bincount(leaf).max() < 60
+
+
 def test_empty(spark):
     assert forest.digest(made(spark, [(1, [1.0])]).filter("vec_id < 0")).count() == 0
