@@ -72,15 +72,26 @@ def _segment(fp, at: int, width: int):
     return F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def _chains_hold(diff, first: int, segments: int, limit: int):
-    """Every chain from segment ``first`` stays within its proportional budget."""
-    bounds, total, ok = _bounds(segments), F.lit(0), F.lit(True)
-    for length in range(1, segments + 1):
-        total = total + F.bit_count(_segment(diff, *bounds[(first + length - 1) % segments]))
-        ok = ok & (total <= length * limit // segments)
+def _chains_hold(parts: list, first: int, limit: int):
+    """Every chain from segment ``first`` stays within its proportional budget; ``parts``: the bits that differ in each."""
+    total, ok = F.lit(0), F.lit(True)
+    for length in range(1, len(parts) + 1):
+        total = total + parts[(first + length - 1) % len(parts)]
+        ok = ok & (total <= length * limit // len(parts))
     return ok
 
 
+def chains_hold(words: list, segments: int, limit: int):
+    """Whether from some segment on every chain stays within its proportional budget; ``words`` are the
+    differing bits of a fingerprint, 64 a word, with the segments spread evenly over the words."""
+    each = segments // len(words)
+    parts = [F.bit_count(_segment(word, *bound)) for word in words for bound in _bounds(each)]
+    holds = F.lit(False)
+    for first in range(segments):
+        holds = holds | _chains_hold(parts, first, limit)
+    return holds
+
+
 def links(
     prints: DataFrame, segments: int = 5, limit: int = 2, block_cap: int = 128, scratch: list[DataFrame] | None = None
 ) -> DataFrame:
@@ -107,9 +118,9 @@ def links(
     left = small.select("ring", "key", F.col("fp").alias("a"))
     right = small.select(F.col("ring").alias("r2"), F.col("key").alias("k2"), F.col("fp").alias("b"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
-    holds = F.lit(False)
+    holds, parts = F.lit(False), [F.bit_count(_segment(diff, *bound)) for bound in bounds]
     for i in range(segments):
-        holds = holds | ((F.col("ring") == i) & _chains_hold(diff, i, segments, limit))
+        holds = holds | ((F.col("ring") == i) & _chains_hold(parts, i, limit))
     pairs = left.join(
         right,
         (F.col("ring") == F.col("r2"))
@@ -154,7 +165,9 @@ def near_duplicates(
         "fp", "least", F.coalesce("component", "fp").alias("root")
     )
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = roots.join(named, "root").select("fp", "component_id")
+    # settled, so that the join is a stage of its own whose partitions Spark may split: blank texts may be one hot fingerprint
+    labels = settle(roots.join(named, "root").select("fp", "component_id"), "simhash-labels")
+    discard([classes])
     return prints.join(labels, "fp").select("id", "fp", "component_id")
 
 

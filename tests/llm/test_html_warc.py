@@ -180,6 +180,7 @@ def test_malformed_archives():
     bad = [raw[:-3], raw[:20], b"junk" + raw, raw + b"junk!"]
     pack = zstandard.ZstdCompressor().compress
     bad += [pack(x) for x in (record()[:-1], record() + b"x", record().replace(b"WARC/1.1", b"HTTP/1.1"), record().replace(b"Content-Length: 5", b"Content-Length: 6"), record().replace(b"WARC-Date", b"Other"), b"")]
+    bad += [pack(record().replace(b"WARC-Date", x)) for x in (b"Content-Length: 5\r\nWARC-Date", b"\xff\xfe: x\r\nWARC-Date")]
     for x in bad:
         with pytest.raises(warc.WarcError):
             list(warc.read_archive(x))
