@@ -12,8 +12,9 @@ cache per Python worker. A chunk's ids stand for themselves because the split pa
 across a space that stands before a character other than white space; a text with any other space
 is encoded whole.
 
-Defined results: a null text is empty and still gives its closing id; repeated rows are packed each
-by itself; an empty table gives no pieces; input columns other than id and text are ignored.
+Defined results: a null text is empty and still gives its closing id; a text of any length is encoded
+whole and cut at every window; repeated rows are packed each by itself; there are no ties, since
+documents follow each other in the order of the table's partitions; an empty table gives no pieces; input columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -133,7 +134,8 @@ def pack(
     totals = held.groupBy("part").agg(F.max(F.col("ahead") + F.col("n")).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    placed = held.join(bases, "part").select("id", (F.col("base") + F.col("ahead")).alias("at"), "n", "ids")
+    # one row a partition of the scan: a number and a sum, whatever the partitions hold
+    placed = held.join(F.broadcast(bases), "part").select("id", (F.col("base") + F.col("ahead")).alias("at"), "n", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
