@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.runtime import settle, ship
+from tesserae.runtime import discard, settle, ship
 
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 ARCHIVE_BYTES, REVISIT_BYTES = 8 << 20, 1000
@@ -69,9 +70,14 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
         raise WarcError("no WARC record")
     headers: dict[str, str] = {}
     for line in lines[1:]:
-        name, colon, value = line.decode().partition(":")
+        try:
+            name, colon, value = line.decode().partition(":")
+        except UnicodeDecodeError as problem:
+            raise WarcError(f"bad header line {line[:40]!r}") from problem
         if not colon or not name or name != name.strip():
             raise WarcError(f"bad header line {line[:40]!r}")
+        if name.lower() in headers:
+            raise WarcError(f"{name} stands twice")
         headers[name.lower()] = value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
@@ -142,11 +148,12 @@ def read_archive(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield parse_record(b"".join(parts))
 
 
-def _page_record(page, url, payload: bytes, digest: str, refers) -> bytes:
+def _page_record(page, url, payload: bytes, digest: str, refers, place: str) -> bytes:
+    """``place`` tells rows apart that have the same id, or none."""
     kind = "response" if refers is None else "revisit"
     headers = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", record_id(page)),
+        ("WARC-Record-ID", record_id(page) if page is not None and kind == "response" else record_id(f"{page} {kind} {place}")),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", "".join((url or "").split())),
         ("WARC-Payload-Digest", warc_digest(digest)),
@@ -164,12 +171,13 @@ def _page_record(page, url, payload: bytes, digest: str, refers) -> bytes:
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+    held, size, part, n = [], 0, TaskContext.get().partitionId(), 0
     as_row = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["archive"])
     for batch in batches:
         for page, url, payload, digest, refers in zip(*batch.columns, strict=True):
             body = (payload.as_py() or "").encode()
-            held.append(_page_record(page.as_py(), url.as_py(), body, digest.as_py(), refers.as_py()))
+            n += 1
+            held.append(_page_record(page.as_py(), url.as_py(), body, digest.as_py(), refers.as_py(), f"{part}-{n}"))
             size += len(held[-1])
             if size >= ARCHIVE_BYTES:
                 yield as_row(write_archive(held))
@@ -210,11 +218,15 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     )
     large = F.octet_length("body") >= REVISIT_BYTES
     first = rows.filter(large).groupBy("sha1").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    told = rows.join(first.select("sha1", "first"), "sha1", "left")
+    # settled, so that the join is a stage of its own whose partitions Spark may split: a third of all pages may be one payload
+    scratch: list[DataFrame] = []
+    first = settle(first.select("sha1", "first"), "warc-first", scratch)
+    told = rows.join(first, "sha1", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    return settle(
-        told.select("id", "url", "body", "sha1", refers.alias("refers")).mapInArrow(_write, "archive binary"), "warc-archives"
-    )
+    archives = told.select("id", "url", "body", "sha1", refers.alias("refers")).mapInArrow(_write, "archive binary")
+    held = settle(archives, "warc-archives")
+    discard(scratch)
+    return held
 
 
 def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
