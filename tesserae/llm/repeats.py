@@ -6,7 +6,11 @@ string of that length holds one. Neighbouring strings with the same trigger form
 is thereby parsed into phrases that overlap by ``length`` - 1 bytes, and every starting position
 lies in exactly one. Distinct phrases are the dictionary, their occurrences the parse.
 
-Two equal strings have the same trigger, so corpus order is needed only inside a trigger's bucket:
+Phrases overlap by ``length`` - 1 bytes, so a suffix's first ``length`` bytes lie in its own phrase:
+the order of the dictionary's suffixes decides the corpus order up to there, and the order of the
+parse would only part what is equal over ``length`` bytes, which is one repeat whatever follows. So
+the parse contributes its counts, and no ranks of it are made. Two equal strings have the same
+trigger, so corpus order is needed only inside a trigger's bucket:
 
 * the parse counts phrases: one that occurs twice is repeated as a whole, wherever it occurs;
 * in a bucket with several phrases, the suffixes of the dictionary that start before the trigger
@@ -260,7 +264,8 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .agg(F.count("*").alias("occurrences"), F.min("c").alias("lo"), F.max("c").alias("hi"))
         .filter("occurrences > 1")
     )
-    shared = parse.join(buckets, "h")
+    # settled, so that the join of a hot trigger is a stage of its own whose partitions Spark may split
+    shared = parse.join(settle(buckets, "repeats-buckets", scratch), "h")
     end = F.col("at") + F.col("m") + (LENGTH - 1)
     plain = shared.filter("lo = hi").select("k1", "k2", F.col("at").alias("a"), end.alias("b"))
     mixed = settle(shared.filter("lo <> hi").select("k1", "k2", "h", "c", "at", "m", "t"), "repeats-mixed", scratch)
@@ -273,6 +278,7 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .select("k1", "k2", F.col("at").alias("a"), end.alias("b"))
     )
     wanted = dictionary.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "at", "m", "t", "n")).alias("want"))
+    wanted = settle(wanted, "repeats-wanted", scratch)
     fetched = (
         texts.join(wanted, ["k1", "k2"])
         .select("k1", "k2", F.col("text").cast("binary").alias("raw"), F.explode("want").alias("w"))
@@ -282,7 +288,7 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         )
         .dropDuplicates(["h", "c"])
     )
-    sizes = dictionary.groupBy("h").agg(F.count("*").alias("kinds"))
+    sizes = settle(dictionary.groupBy("h").agg(F.count("*").alias("kinds")), "repeats-sizes", scratch)
     fetched = settle(fetched.join(sizes, "h"), "repeats-phrases", scratch)
     small = (
         fetched.filter(F.col("kinds") <= BUCKET)
