@@ -21,9 +21,10 @@ sqrt(n) so that a text of many matches costs n * sqrt(n) at most. The patterns h
 quantifiers and a look-behind where that cannot change a match: no backtracking over long runs.
 
 Scale: only entities in two distinct texts or more are followed, and only terms that stand beside
-such an entity in two contexts; hashes of these candidates are looked up in all texts, by a
-broadcast up to ``sized_broadcast``'s bound and by a shuffle beyond. Counts combine before they are
-shuffled. Texts are keyed by a 128-bit hash, so a hot group of copies is one key of one small row.
+such an entity in two contexts and are not too frequent among the texts with followed entities
+alone. Hashes of these candidates are looked up in all texts, by a broadcast up to
+``sized_broadcast``'s bound and by a shuffle beyond; their counts combine before they are shuffled,
+each copy of a text counted as its share of one. Texts are keyed by a 128-bit hash, so a hot group of copies is one key of one small row.
 
 Defined results: null texts are empty; rows repeated in full repeat their spans; a text of white
 space has none; words inside base spans are no evidence; an empty table gives an empty result; columns
@@ -246,14 +247,18 @@ def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame | None:
     blank = F.array(*[F.lit("\n")] * len(KINDS))
     near = near.withColumn("t", let(base_spans(F.col("t")), lambda b: _replaced(F.col("t"), b, blank)))
     seen = near.select("k1", "k2", F.inline(_in_context(F.col("t"))))
-    seen = seen.groupBy("k1", "k2", "t").agg(F.min(F.struct("at", "c")).alias("first"))
+    seen = settle(seen.groupBy("k1", "k2", "t").agg(F.min(F.struct("at", "c")).alias("first")), "privacy-seen", scratch)
+    # texts with any followed entity already hold some terms too often: they need no count over all texts
+    beside = seen.groupBy("t").agg(F.count("*").alias("n_beside"))
     together = follow.join(seen, ["k1", "k2"]).groupBy("e", "n_e", "t", "first.c").agg(F.count("*").alias("n"))
     together = together.groupBy("e", "n_e", "t").agg(F.count("*").alias("witnesses")).filter(F.col("witnesses") >= WITNESSES)
+    together = together.join(beside, "t").filter(F.col("witnesses") >= (F.col("n_beside") + SMOOTH) * CHANCE)
     together = settle(together, "privacy-together", scratch)
     candidates = settle(together.select("t").distinct(), "privacy-candidates", scratch)
-    every = texts.select("k1", "k2", F.explode(_terms(F.col("t"))).alias("t"))
-    found = settle(every.join(sized_broadcast(candidates), "t").distinct(), "privacy-found", scratch)
-    counts = found.groupBy("t").agg(F.count("*").alias("n_t"))
+    copies = settle(texts.groupBy("k1", "k2").agg(F.count("*").alias("copies")).filter("copies > 1"), "privacy-copies", scratch)
+    weighed = texts.join(sized_broadcast(copies), ["k1", "k2"], "left").withColumn("part", 1 / F.coalesce("copies", F.lit(1)))
+    every = weighed.select("part", F.explode(_terms(F.col("t"))).alias("t")).join(sized_broadcast(candidates), "t")
+    counts = every.groupBy("t").agg(F.round(F.sum("part")).alias("n_t"))  # copies of a text add up to one
     total = texts.select("k1", "k2").distinct().agg(F.count("*").alias("total"))
     chance = F.col("witnesses") / (F.col("n_t") + SMOOTH)
     content = F.log2(F.col("total") / F.col("n_e"))
@@ -266,8 +271,10 @@ def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame | None:
         .distinct()
     )
     telling = settle(telling, "privacy-telling", scratch)
-    tells = found.join(sized_broadcast(telling), "t").groupBy("k1", "k2").agg(F.collect_set("t").alias("tells"))
-    tells = settle(tells, "privacy-tells")
+    tells = None
+    if not telling.isEmpty():
+        found = texts.select("k1", "k2", F.explode(_terms(F.col("t"))).alias("t")).join(sized_broadcast(telling), "t")
+        tells = settle(found.groupBy("k1", "k2").agg(F.collect_set("t").alias("tells")), "privacy-tells")
     discard(scratch)
     return tells
 
