@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,23 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = now.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct()
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("m").alias("component")))
+
+
+def smallest_linked(n: int, tiles: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of ``n`` nodes the smallest it is connected to. A tile is (rows, columns, links): two arrays
+    of nodes and a boolean matrix, its columns packed to bits. Roots hook to smaller labels, then labels jump."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        for rows, cols, bits in tiles:
+            near = np.unpackbits(bits, axis=1, count=len(cols)).view(bool)
+            x, y = label[rows], label[cols]
+            low, high = np.where(near, y[None, :], n).min(axis=1), np.where(near, x[:, None], n).min(axis=0)
+            for mine, own, seen in ((rows, x, low), (cols, y, high)):
+                hit = seen < n
+                np.minimum.at(label, own[hit], seen[hit])
+                np.minimum.at(label, mine[hit], seen[hit])
+        while ((jumped := label[label]) != label).any():
+            label = jumped
+        if (label == before).all():
+            return label

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.components import components
+from tesserae.llm.components import components, smallest_linked
 from tesserae.runtime import discard, settle, ship, sized_broadcast
 
 TREES, LEAF, LEAF_CAP, SAMPLE, FITTED, STEP, SEED = 6, 1024, 4096, 32_768, 11, 1024, 7
@@ -150,20 +150,7 @@ def compare_leaf(
                 count[cols] += (some[rows] @ fresh).astype(np.int64) << digit
     by_cid = np.argsort(cid)
     rank = np.argsort(by_cid)
-    label = np.arange(n)
-    while True:  # hook roots to the smallest label linked, then jump
-        before = label.copy()
-        for rows, cols, bits in links:
-            near = np.unpackbits(bits, axis=1, count=cols.stop - cols.start).view(bool)
-            x, y = label[rank[rows]], label[rank[cols]]
-            low, high = np.where(near, y[None, :], n).min(axis=1), np.where(near, x[:, None], n).min(axis=0)
-            for mine, own, seen in ((rank[rows], x, low), (rank[cols], y, high)):
-                np.minimum.at(label, own, seen)
-                np.minimum.at(label, mine, seen)
-        while (jumped := label[label]).tolist() != label.tolist():
-            label = jumped
-        if (label == before).all():
-            break
+    label = smallest_linked(n, [(rank[rows], rank[cols], bits) for rows, cols, bits in links])
     at = np.flatnonzero(touched)
     return cid[at], count[at], cid[by_cid[label[rank[at]]]]
 

@@ -77,3 +77,12 @@ def test_chained_on_repeated_rows_and_copies_without_an_id(spark, docs):
     got = {(r.doc_id, r.text) for r in now.collect()}
     assert now.count() == 4 and {i for i, _ in got} == {1, 2, None, 4}
     assert {(1, body(1)), (2, body(2)), (None, body(3))} < got and dict(got)[4] in (body(4) + " a", body(4) + " b")
+
+
+def test_chunks_against_sets():
+    rng = random.Random(3)
+    sets = [[neardup.shingles(t) for _, t in families(rng, 2, 12)] + [neardup.shingles("")] for _ in range(2)]
+    got = neardup.similar_in_chunks(*sets)
+    for i, a in enumerate(sets[0]):
+        for j, b in enumerate(sets[1]):
+            assert got[i, j] == neardup.similar(a, b)
