@@ -18,7 +18,7 @@ def test_table_agent_repairs(spark):
     replies = iter(["DROP TABLE sales", "SELECT revenue FROM sales WHERE region = 'Europe'", "SELECT sum(revenue) AS r FROM sales WHERE region = 'EU'"])
     seen = []
     got = A.answer(spark, "EU?", [t], lambda talk: seen.append(talk[-1]["content"]) or next(replies))
-    assert got.rows == [{"r": 10}] and got.retries == 2 and "EU, US" in seen[2]
+    assert got.rows == [{"r": 10}] and got.retries == 2 and "EU | US" in seen[2]
     e = A.as_evidence("EU?", [t], got)
     assert e["score"] == 0.85 and "RESULT: r = 10" in e["content"] and e["location"] == "sheet S"
     spec = json.dumps({"table": "sales", "aggregations": [{"column": "revenue", "func": "max"}]})

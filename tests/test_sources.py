@@ -94,3 +94,27 @@ def test_delimited(spark, tmp_path):
     p.write_text("ticket;when;n\nT-1;2025-01-02;1,5\nT-2;2025-02-03;\n")
     t = delimited.read(spark, str(p))
     assert t.columns == ["ticket", "when", "n", "_is_total", "_row"] and [r._row for r in t.collect()] == [2, 3]
+
+
+@pytest.mark.parametrize(
+    "language, line, want",
+    [
+        ("go", "func (s *Store) Load(id int) error {", ("Load", "function")), ("go", "type Store struct {", ("Store", "type")),
+        ("rust", "impl<T: Clone> Tree<T> {", ("Tree", "impl")), ("rust", "    pub async fn grow(&mut self) {", ("grow", "function")),
+        ("java", "  public static int total(List<Integer> of) {", ("total", "function")), ("java", "  if (total(x)) {", None),
+        ("java", "public final class Ledger {", ("Ledger", "class")), ("java", "  return total(x)", None),
+        ("csharp", "internal sealed partial class Cart", ("Cart", "class")), ("c", "static int *find(char *name)", ("find", "function")),
+        ("c", "int found = find(name);", None), ("cpp", "void Shop::Cart::add(int n) {", ("Shop::Cart::add", "function")),
+        ("ruby", "  def self.empty?", ("self.empty?", "function")), ("kotlin", "data class Point(val x: Int)", ("Point", "class")),
+        ("php", "  public function pay($sum) {", ("pay", "function")), ("javascript", "export const add = async (a, b) => a + b;", ("add", "function")),
+        ("javascript", "while (more()) {", None), ("typescript", "export default interface Shape {", ("Shape", "interface")),
+    ],
+)
+def test_lines_that_begin_symbols(language, line, want):
+    assert code.declared(line, code.GRAMMARS[language]) == want
+
+
+def test_long_classes_and_last_lines():
+    body = "".join(f"    @cached\n    def m{i}(self):\n" + "        pass\n" * 60 for i in range(2))
+    assert code.python_symbols("class Big:\n    x = 1\n" + body)[:2] == [("Big", "class", 1, 2), ("Big.m0", "method", 3, 64)]
+    assert code.pattern_symbols("def a\n  1\nend\n\n\ndef b\nend\n\n", "ruby") == [("a", "function", 1, 3), ("b", "function", 6, 7)]
