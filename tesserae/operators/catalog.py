@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.runtime import settle
+
 
 def content_id(content: str | Column) -> Column:
     """First 16 hex digits of the SHA-256."""
@@ -105,6 +107,14 @@ def save_table(df: DataFrame, root: str, name: str) -> str:
     return path
 
 
-def save_chunks(chunks: DataFrame, path: str) -> None:
-    """Partitioned by document; writing a document again replaces its partition only."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(path)
+def save_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Upsert by document into ``buckets`` folders by a hash of doc_id: a document written again replaces
+    its chunks. Only buckets that are touched are rewritten; rows of other documents there stay."""
+    spark, bucket = chunks.sparkSession, F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    fresh = settle(chunks.withColumn("bucket", bucket), "chunks-fresh")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        touched, written = fresh.select("bucket").distinct(), fresh.select("doc_id").distinct()
+        held = spark.read.schema(fresh.schema).parquet(path).join(F.broadcast(touched), "bucket", "left_semi")  # at most ``buckets`` rows
+        fresh = settle(fresh.unionByName(held.join(written, "doc_id", "left_anti").select(*fresh.columns)), "chunks-merged")
+    fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

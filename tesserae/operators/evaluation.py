@@ -62,13 +62,19 @@ def abstention(results: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median, and p95 as the element at int(0.95 * (n - 1)) of the sorted values."""
-    w = Window.partitionBy(*keys)
-    placed = rows.select(
-        *keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n")
+    """Median, and p95 as the element at int(0.95 * (n - 1)) of the sorted values; nulls take no part.
+
+    Ranks are counted: equal values combine before the shuffle, and running counts over the distinct
+    values tell where an element falls."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.select(*keys, value, F.sum("c").over(upto).alias("upto"), F.sum("c").over(whole).alias("n"))
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(value)))
+    last = F.col("n") - 1
+    return placed.groupBy(*keys).agg(
+        ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("p50"), at(F.floor(F.lit(0.95) * last)).alias("p95")
     )
-    at = F.floor(F.lit(0.95) * (F.col("n") - 1))
-    return placed.groupBy(*keys).agg(F.median(value).alias("p50"), F.max(F.when(F.col("i") == at, F.col(value))).alias("p95"))
 
 
 def accuracy_by(results: DataFrame, key: str, correct: str = "correct") -> DataFrame:

@@ -7,24 +7,36 @@ rank limit, which Spark prunes before the shuffle.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as T
-from tesserae.runtime import ship
+from tesserae.runtime import settle, ship
 
 K1, B, AVERAGE_LENGTH, RRF_K = 1.2, 0.75, 256.0, 60
 DIMENSIONS = 384
 
 
-def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, term, tf, length, weight)``: BM25 document weights with a fixed average length."""
-    rows = chunks.select(F.col(id_col).alias("id"), T.tokens(text_col).alias("tokens"))
+def token_table(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, tokens)``; a column of token arrays is taken as it is, so that a settled token table serves every index."""
+    ready = dict(chunks.dtypes)[text_col] == "array<string>"
+    return chunks.select(F.col(id_col).alias("id"), (F.col(text_col) if ready else T.tokens(text_col)).alias("tokens"))
+
+
+def postings(chunks: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> DataFrame:
+    """``(id, term, tf, length, weight)``: BM25 document weights with a fixed average length.
+
+    With ``terms`` only tokens among its column ``term`` are counted at all."""
+    rows = token_table(chunks, id_col, text_col)
     counted = rows.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        counted = counted.join(terms.select("term").distinct(), "term", "left_semi")
     tf = counted.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
     norm = K1 * (1 - B + B * F.col("length") / AVERAGE_LENGTH)
     return tf.withColumn("weight", F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
@@ -51,35 +63,44 @@ def _top(scored: DataFrame, k: int, by: str = "qid") -> DataFrame:
 
 
 def sparse_topk(posted: DataFrame, terms: DataFrame, n_docs: int | Column, k: int) -> DataFrame:
-    """``(qid, id, score, rank)``: dot product of query terms and weights times IDF, best k a query.
+    """``(qid, id, score, rank)``: dot product of query terms and weights times IDF, to nine digits, best k a query.
 
-    Only postings of query terms take part: their frequency is counted after the join with the
-    distinct terms, so the vocabulary is never aggregated as a whole."""
+    Only postings of query terms take part; they are settled, since both the frequencies and the
+    scores read them: the vocabulary is never aggregated as a whole and no text is tokenised twice."""
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
-    wanted = posted.join(terms.select("term").distinct(), "term", "left_semi")
+    wanted = settle(posted.join(terms.select("term").distinct(), "term", "left_semi"), "search-postings")
     weighted = wanted.join(document_frequency(wanted), "term").select(
         "id", "term", (F.col("weight") * idf(F.col("df"), n)).alias("w")
     )
-    scored = weighted.join(terms, "term").groupBy("qid", "id").agg(F.sum("w").alias("score"))
+    scored = weighted.join(terms, "term").groupBy("qid", "id").agg(F.round(F.sum("w"), 9).alias("score"))
     return _top(scored, k)
 
 
 def hash_embedding(chunks: DataFrame, id_col: str, text_col: str, dims: int = DIMENSIONS) -> DataFrame:
-    """``(id, embedding)``: signed hashed bag of words, unit length; without tokens the first axis."""
-    h = F.crc32(F.col("token").cast("binary"))
-    sign = F.when(F.shiftright(h, 20).bitwiseAND(1) == 1, 1.0).when(h.isNotNull(), -1.0)
-    rows = chunks.select(F.col(id_col).alias("id"), F.explode_outer(T.tokens(text_col)).alias("token"))
-    cells = rows.groupBy("id", (h % dims).cast("int").alias("axis")).agg(F.sum(sign).alias("v")).filter(
-        "v <> 0 OR axis IS NULL"
-    )
-    packed = cells.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("axis").isNotNull(), F.struct("axis", "v")))).alias("m"),
-        F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"),
-    )
-    value = lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0.0)) / F.col("norm")
-    first = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), value)
-    return packed.select("id", F.when(F.coalesce("norm", F.lit(0.0)) > 0, filled).otherwise(first).alias("embedding"))
+    """``(id, embedding)`` per row: signed hashed bag of words, unit length; without tokens the first axis."""
+    ship(chunks.sparkSession)
+    rows = token_table(chunks, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            ids, tokens = batch.column(0), batch.column(1)
+            for at in range(0, batch.num_rows, 2000):
+                part = tokens.slice(at, 2000)
+                if len(known) > 500_000:
+                    known.clear()
+                hashes = [known.setdefault(t, zlib.crc32(t.encode())) for t in part.flatten().to_pylist()]
+                h = np.array(hashes, np.int64)
+                owner = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))
+                sign = np.where(h >> 20 & 1, 1.0, -1.0)
+                table = np.bincount(owner * dims + h % dims, sign, minlength=len(part) * dims).astype(np.float64).reshape(len(part), dims)
+                norm = np.sqrt((table * table).sum(axis=1))
+                table[norm == 0] = np.eye(1, dims)
+                table /= np.where(norm == 0, 1, norm)[:, None]
+                ends = pa.array(np.arange(0, len(part) * dims + 1, dims), pa.int32())
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 2000), pa.ListArray.from_arrays(ends, pa.array(table.ravel()))], ["id", "embedding"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, embedding array<double>")
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

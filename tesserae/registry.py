@@ -11,7 +11,7 @@ from tesserae.functions import similarity as S
 from tesserae.functions import text as T
 from tesserae.operators import catalog, chunking, evaluation, evidence, index, opspec, tables
 from tesserae.plans import guard, router
-from tesserae.runtime import ship, table
+from tesserae.runtime import settle, ship, table
 from tesserae.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,16 +60,18 @@ df AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM q)
 """
 
 
-def _postings(spark, d):
-    return index.postings(table(spark, d, "documents"), "doc_id", "text")
+def _postings(spark, d, terms=None):
+    return index.postings(table(spark, d, "documents"), "doc_id", "text", terms)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search: BM25 and hashed vectors over the documents for every benchmark item, fused,
-    with at most three hits a source."""
+    with at most three hits a source. Texts are tokenised once, for both indexes."""
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    sparse = index.sparse_topk(_postings(spark, sf_dir), index.query_terms(asked, "item_id", "text"), docs.count(), 30)
-    vectors = index.hash_embedding(docs, "doc_id", "text")
+    tokens = settle(index.token_table(docs, "doc_id", "text"), "search-tokens")
+    terms = index.query_terms(asked, "item_id", "text")
+    sparse = index.sparse_topk(index.postings(tokens, "id", "tokens", terms), terms, docs.count(), 30)
+    vectors = index.hash_embedding(tokens, "id", "tokens")
     wanted = index.hash_embedding(asked, "item_id", "text").select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
     hits = index.search(index.dense_topk(vectors, wanted, 30), sparse, "hybrid", 30)
     placed = hits.join(docs.select(F.col("doc_id").alias("id"), "source"), "id")
@@ -390,22 +392,18 @@ def chunk_pack(spark, d):
 @_query("WITH " + _POSTINGS + "SELECT term, df FROM df")
 def bm25_df(spark, d):
     asked = index.query_terms(table(spark, d, "benchmark"), "item_id", "text").select("term").distinct()
-    return index.document_frequency(_postings(spark, d).join(asked, "term", "left_semi"))
+    return index.document_frequency(_postings(spark, d, asked))
 
 
 @_query(
-    "WITH " + _POSTINGS + ", n AS (SELECT count(*) AS n FROM documents), s AS (SELECT qid, id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5))), 6) AS score "
+    "WITH " + _POSTINGS + ", n AS (SELECT count(*) AS n FROM documents), s AS (SELECT qid, id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5))), 9) AS score "
     "FROM post JOIN q USING (term) JOIN df USING (term), n GROUP BY qid, id) "
-    "SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"
+    "SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"
 )
 def bm25_topk(spark, d):
+    asked = index.query_terms(table(spark, d, "benchmark"), "item_id", "text")
     n = table(spark, d, "documents").count()
-    posted, asked = _postings(spark, d), index.query_terms(table(spark, d, "benchmark"), "item_id", "text")
-    wanted = posted.join(asked.select("term").distinct(), "term", "left_semi")
-    weighted = wanted.join(index.document_frequency(wanted), "term")
-    w = F.col("weight") * index.idf(F.col("df"), F.lit(n))
-    scored = weighted.select("id", "term", w.alias("w")).join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return index._top(scored, 10).select("qid", "id", "score", "rank")
+    return _rounded(index.sparse_topk(_postings(spark, d, asked), asked, n, 10))
 
 
 @_query()

@@ -3,12 +3,12 @@ import pytest
 from tesserae.operators import evidence as E
 
 SOURCES = [
-    (1, "Total revenue reached USD 48.6 million in FY2025, up 18% from FY2024."),
-    (2, "At fiscal year end the company employed 412 people across three offices."),
-    (3, "Production deploys are frozen from December 20 to January 5."),
+    (1, "Total cargo reached 73.4 million tonnes in 2031, up 6% from 2030."),
+    (2, "When the season closed the port employed 268 pilots across four piers."),
+    (3, "Harbour cranes are stopped from November 11 to February 3."),
 ]
 HANDBOOK = [
-    (1, "Handover happens on Mondays at 10:00 CET. Pages must be acknowledged within 15 minutes. Deploys are not allowed on Fridays.")
+    (1, "Watches change on Tuesdays at 09:30 UTC. Alarms must be answered within 12 minutes. Landings are not allowed on Sundays.")
 ]
 
 
@@ -19,38 +19,38 @@ def check(spark, answer, sources=SOURCES):
 
 
 def test_supported_claims(spark):
-    got = check(spark, "Total revenue was USD 48.6 million in FY2025 [S1]. The company employed 412 people [S2].")
+    got = check(spark, "Total cargo was 73.4 million tonnes in 2031 [S1]. The port employed 268 pilots [S2].")
     assert [r.label for r in got] == ["supported", "supported"]
 
 
 def test_wrong_number_is_unsupported_and_removed(spark):
-    draft = "Revenue was USD 52.1 million [S1]. The company employed 412 people [S2]."
+    draft = "Cargo was 91.7 million tonnes [S1]. The port employed 268 pilots [S2]."
     got = check(spark, draft)
-    assert got[0].label == "unsupported" and "52.1" in got[0].reason
+    assert got[0].label == "unsupported" and "91.7" in got[0].reason
     left = E.remove_unsupported(draft, [r.claim for r in got if r.label == "unsupported"])
-    assert "52.1" not in left and "412" in left
+    assert "91.7" not in left and "268" in left
 
 
 def test_citation_repair(spark):
-    [r] = check(spark, "The company employed 412 people [S1].")
+    [r] = check(spark, "The port employed 268 pilots [S1].")
     assert r.label == "supported" and r.citations == [2]
-    [r] = check(spark, "Production deploys are frozen from December 20 to January 5.")
+    [r] = check(spark, "Harbour cranes are stopped from November 11 to February 3.")
     assert r.label == "supported" and r.citations == [3]
 
 
-@pytest.mark.parametrize("claim", ["Pages must be acknowledged within one hour [S1].", "Pages must never be acknowledged within 15 minutes [S1].", "Deploys are allowed on Fridays [S1]."])
+@pytest.mark.parametrize("claim", ["Alarms must be answered within one day [S1].", "Alarms must never be answered within 12 minutes [S1].", "Landings are allowed on Sundays [S1]."])
 def test_contradictions_are_never_supported(spark, claim):
     assert check(spark, claim, HANDBOOK)[0].label != "supported"
 
 
-@pytest.mark.parametrize("claim", ["Pages must be acknowledged within 15 minutes [S1].", "Deploys are not allowed on Fridays [S1]."])
+@pytest.mark.parametrize("claim", ["Alarms must be answered within 12 minutes [S1].", "Landings are not allowed on Sundays [S1]."])
 def test_agreement_is_supported(spark, claim):
     assert check(spark, claim, HANDBOOK)[0].label == "supported"
 
 
 def test_renumber():
-    text, order = E.renumber_text("Freeze dates [S3]. Headcount 412 [S2][S9]. Again [S3, S2].", 3)
-    assert text == "Freeze dates [1]. Headcount 412 [2]. Again [1][2]." and order == [3, 2]
+    text, order = E.renumber_text("Idle cranes [S3]. Pilots 268 [S2][S9]. Both [S3, S2].", 3)
+    assert text == "Idle cranes [1]. Pilots 268 [2]. Both [1][2]." and order == [3, 2]
 
 
 def test_confidence(spark):

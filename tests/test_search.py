@@ -89,3 +89,49 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda x: sorted(map(tuple, x.collect()))
     assert key(spark.table("tumbled")) == key(events.tumbling(df, "1 hour"))
+
+
+def test_hashed_vectors_against_a_plain_model(spark):
+    import math
+    import zlib
+    from collections import Counter
+
+    from tesserae.functions import text as T
+
+    rows = [(i, t) for i, t in enumerate(["", None, "tide tables", "Tide tide harbour-master 2031 quay " * 9, "é 你好 ünïcode x1"])]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(2)
+    tokens = {r.id: r.t or [] for r in df.select("id", T.tokens("text").alias("t")).collect()}
+    for got in index.hash_embedding(df, "id", "text", 32).collect():
+        cells = Counter()
+        for t in tokens[got.id]:
+            h = zlib.crc32(t.encode())
+            cells[h % 32] += 1 if h >> 20 & 1 else -1
+        norm = math.sqrt(sum(v * v for v in cells.values()))
+        want = [cells[i] / norm if norm else float(i == 0) for i in range(32)]
+        assert all(abs(a - b) < 1e-12 for a, b in zip(got.embedding, want, strict=True))
+
+
+def test_latency_ranks_are_exact(spark):
+    import random
+
+    from tesserae.operators import evaluation
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.choice([None, *(rng.randint(0, 9) / 2 for _ in range(20))])) for _ in range(301)] + [("c", 1.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for got in evaluation.latency(df, ["k"], "v").collect():
+        v = sorted(x for k, x in rows if k == got.k and x is not None)
+        n = len(v)
+        assert got.p50 == (v[(n - 1) // 2] + v[n // 2]) / 2 and got.p95 == v[int(0.95 * (n - 1))]
+
+
+def test_chunks_of_a_document_are_replaced(spark, tmp_path):
+    from tesserae.operators import catalog
+
+    path = f"{tmp_path}/chunks"
+    make = lambda rows: spark.createDataFrame(rows, "doc_id string, ordinal int, text string")
+    catalog.save_chunks(make([(f"d{i}", j, "old") for i in range(30) for j in range(3)]), path, 4)
+    catalog.save_chunks(make([("d3", 0, "new"), ("d99", 0, "new")]), path, 4)
+    got = [(r.doc_id, r.text) for r in spark.read.parquet(path).collect()]
+    assert len(got) == 29 * 3 + 2 and got.count(("d3", "new")) == 1 and ("d3", "old") not in got
+    assert len(list((tmp_path / "chunks").glob("bucket=*"))) <= 4
