@@ -71,8 +71,10 @@ def stem(token: Column) -> Column:
     """Light plural stemming of letter-only tokens longer than four characters."""
     n = F.length(token)
     plain = (n > 4) & token.rlike(r"^\p{L}+$")
+    # the cheap tests first: most tokens are short or end otherwise
     return (
-        F.when(plain & token.endswith("ies"), F.concat(F.substring(token, F.lit(1), n - 3), F.lit("y")))
+        F.when((n <= 4) | ~token.endswith("s"), token)
+        .when(plain & token.endswith("ies"), F.concat(F.substring(token, F.lit(1), n - 3), F.lit("y")))
         .when(plain & token.endswith("s") & ~token.rlike("(ss|us|is)$"), F.substring(token, F.lit(1), n - 1))
         .otherwise(token)
     )
@@ -82,7 +84,8 @@ def tokens(text: Column | str) -> Column:
     """Array of search tokens, in order: words whole and in parts, without stop words, stemmed."""
     def expand(raw: Column) -> Column:
         parts = F.filter(F.split(F.regexp_replace(raw, CAMEL, "_"), "[-./_']"), lambda p: p != "")
-        return let(parts, lambda p: F.when(F.size(p) == 1, F.array(raw)).otherwise(F.concat(F.array(raw), p)))
+        whole = let(parts, lambda p: F.when(F.size(p) == 1, F.array(raw)).otherwise(F.concat(F.array(raw), p)))
+        return F.when(raw.rlike(r"[-./_']|[a-z0-9][A-Z]"), whole).otherwise(F.array(raw))
 
     words = F.regexp_extract_all(F.regexp_replace(col(text), THOUSANDS, ""), F.lit(TOKEN), 0)
     low = F.transform(F.flatten(F.transform(words, expand)), F.lower)

@@ -32,8 +32,11 @@ def token_table(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def postings(chunks: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> DataFrame:
     """``(id, term, tf, length, weight)``: BM25 document weights with a fixed average length.
 
-    With ``terms`` only tokens among its column ``term`` are counted at all."""
+    With ``terms`` only tokens among its column ``term`` are counted at all. Texts are tokenised into a
+    settled table first: the plan below names the tokens twice, and would else make them twice."""
     rows = token_table(chunks, id_col, text_col)
+    if dict(chunks.dtypes)[text_col] != "array<string>":
+        rows = settle(rows, "search-tokens")
     counted = rows.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
     if terms is not None:
         counted = counted.join(terms.select("term").distinct(), "term", "left_semi")
@@ -82,15 +85,12 @@ def hash_embedding(chunks: DataFrame, id_col: str, text_col: str, dims: int = DI
     rows = token_table(chunks, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for batch in batches:
             ids, tokens = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 2000):
                 part = tokens.slice(at, 2000)
-                if len(known) > 500_000:
-                    known.clear()
-                hashes = [known.setdefault(t, zlib.crc32(t.encode())) for t in part.flatten().to_pylist()]
-                h = np.array(hashes, np.int64)
+                coded = part.flatten().dictionary_encode()
+                h = np.array([zlib.crc32(t.encode()) for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
                 owner = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))
                 sign = np.where(h >> 20 & 1, 1.0, -1.0)
                 table = np.bincount(owner * dims + h % dims, sign, minlength=len(part) * dims).astype(np.float64).reshape(len(part), dims)
