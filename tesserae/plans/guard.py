@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.plans.dialect import UnsafeSQLError, rewrite
+
 DEFAULT_LIMIT, MOST_ROWS = 200, 1000
 # Plan nodes a read-only query is made of.
 NODES = frozenset(
@@ -20,7 +22,7 @@ NODES = frozenset(
     "UnresolvedSubqueryColumnAliases UnresolvedWith CTERelationDef CTERelationRef WithCTE WithWindowDefinition Window "
     "UnresolvedRelation UnresolvedInlineTable OneRowRelation Generate LateralJoin UnresolvedHaving LocalRelation "
     "UnresolvedCTERelationRef UnresolvedOrdinal Pivot Unpivot UnresolvedPivot UnresolvedUnpivot Expand Tail View "
-    "UnionLoop UnionLoopRef UnresolvedSubqueryAlias".split()
+    "UnionLoop UnionLoopRef UnresolvedSubqueryAlias Sample".split()
 )
 FUNCTIONS = frozenset(
     "abs acos any any_value approx_count_distinct array array_agg array_contains array_distinct array_join array_size asin "
@@ -36,13 +38,14 @@ FUNCTIONS = frozenset(
     "slice some sort_array split split_part sqrt startswith stddev stddev_pop stddev_samp string_agg struct substr "
     "substring sum tan timestampdiff to_char to_date to_number to_timestamp translate trim trunc try_cast try_divide "
     "try_element_at try_sum unnest upper var_pop var_samp variance week weekday weekofyear when year strftime and or not "
-    "between in case cast exists".split()
+    "between in case cast exists aggregate array_append array_compact array_except array_intersect array_max array_min "
+    "array_position array_prepend array_remove array_repeat array_sort array_union arrays_overlap arrays_zip ascii base64 btrim "
+    "cbrt char chr crc32 degrees factorial filter flatten forall from_json get get_json_object hash hex inline json_array_length "
+    "json_object_keys levenshtein log1p map map_concat map_contains_key map_entries map_filter map_from_arrays map_from_entries "
+    "map_keys map_values overlay pi radians reduce regexp_extract_all regr_intercept regr_r2 rint sha signum soundex "
+    "space str_to_map substring_index to_json transform transform_keys transform_values try_add try_multiply try_subtract "
+    "try_to_date try_to_number try_to_timestamp typeof unhex xxhash64 zip_with".split()
 )
-_STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%b": "MMM", "%B": "MMMM", "%y": "yy"}
-
-
-class UnsafeSQLError(ValueError):
-    """The statement is not a single read-only query over the allowed tables."""
 
 
 class QueryTimeout(TimeoutError):
@@ -59,16 +62,6 @@ def extract_sql(reply: str) -> str:
     return begun[0].strip().rstrip(";").strip()
 
 
-def shim(sql: str) -> str:
-    """strftime with a literal format as date_format."""
-
-    def format_of(m: re.Match) -> str:
-        java = re.sub("%[A-Za-z]", lambda f: _STRFTIME.get(f[0], ""), m[2])
-        return f"date_format({m[1]}, '{java}')"
-
-    return re.sub(r"(?i)\bstrftime\(\s*([^(),']+?)\s*,\s*'([^']*)'\s*\)", format_of, sql)
-
-
 def _items(seq):
     it = seq.iterator()
     while it.hasNext():
@@ -81,8 +74,9 @@ def _walk(plan, names: set[str], allowed: set[str], columns: set[str]) -> None:
         raise UnsafeSQLError(f"{kind} is not allowed")
     if kind == "UnresolvedWith":
         for pair in _items(plan.cteRelations()):
-            _walk(pair._2(), names, allowed, columns)
-            names = names | {str(pair._1()).lower()}
+            own = names | {str(pair._1()).lower()}
+            _walk(pair._2(), own if plan.allowRecursion() else names, allowed, columns)
+            names = own
     if kind == "UnresolvedRelation":
         parts = list(_items(plan.multipartIdentifier()))
         if len(parts) != 1 or parts[0].lower() not in allowed | names:
@@ -134,9 +128,10 @@ def _parsed(sql: str, session: SparkSession):
 
 
 def _checked(sql: str, allowed: set[str], session: SparkSession) -> tuple[str, set[str]]:
-    sql = shim(sql.strip().rstrip(";").strip())
+    sql = sql.strip().rstrip(";").strip()
     if not re.match(r"(?i)^(select|with|\()", sql):
         raise UnsafeSQLError("not a query")
+    sql = rewrite(sql)
     columns: set[str] = set()
     _walk(_parsed(sql, session), set(), {a.lower() for a in allowed}, columns)
     return sql, columns

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import similarity as S
 from tesserae.functions import text as T
-from tesserae.operators import catalog, chunking, evaluation, evidence, index, opspec, tables
+from tesserae.operators import asof, catalog, chunking, evaluation, evidence, index, opspec, tables
 from tesserae.plans import guard, router
 from tesserae.runtime import settle, ship, table
 from tesserae.streaming import events as ev
@@ -237,20 +237,143 @@ _GUARDED = {
 }
 
 
-def _guarded(name: str, sql: str) -> None:
+#: Statements whose functions DuckDB names differently, each with its form there.
+_TRANSLATED = {
+    "sql_unnest": (
+        "SELECT word, count(*) AS n FROM (SELECT explode(split(p_type, ' ')) AS word FROM part) AS w GROUP BY word ORDER BY word",
+        "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS word FROM part) AS w GROUP BY word",
+    ),
+    "sql_statistics": (
+        "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_tax), 8) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r, "
+        "round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS q1, "
+        "listagg(DISTINCT l_linestatus, ',') WITHIN GROUP (ORDER BY l_linestatus) AS statuses FROM lineitem GROUP BY l_returnflag ORDER BY l_returnflag",
+        "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_tax), 8) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r, "
+        "round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, "
+        "string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS statuses FROM lineitem GROUP BY l_returnflag",
+    ),
+    "sql_pivot": (
+        "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_totalprice FROM orders) PIVOT (max(o_totalprice) FOR o_orderstatus IN "
+        "('F' AS f, 'O' AS o, 'P' AS p)) ORDER BY o_orderpriority",
+        "FROM (SELECT o_orderpriority, o_orderstatus, o_totalprice FROM orders) PIVOT (max(o_totalprice) FOR o_orderstatus IN "
+        "('F' AS f, 'O' AS o, 'P' AS p) GROUP BY o_orderpriority)",
+    ),
+    "sql_strings": (
+        "SELECT n_name, levenshtein(n_name, 'FRANCE') AS steps, sha2(n_name, 256) AS digest, md5(lower(n_name)) AS m, split_part(n_name, ' ', 1) AS word, "
+        "lpad(left(n_name, 3), 6, '*') AS padded, regexp_replace(n_name, '[AEIOU]+', '-') AS bare, reverse(n_name) AS turned FROM nation ORDER BY n_name",
+        "SELECT n_name, levenshtein(n_name, 'FRANCE') AS steps, sha256(n_name) AS digest, md5(lower(n_name)) AS m, split_part(n_name, ' ', 1) AS word, "
+        "lpad(left(n_name, 3), 6, '*') AS padded, regexp_replace(n_name, '[AEIOU]+', '-', 'g') AS bare, reverse(n_name) AS turned FROM nation",
+    ),
+    "sql_arrays": (
+        "SELECT p_type, array_join(transform(split(p_type, ' '), x -> upper(left(x, 2))), '/') AS short, "
+        "size(filter(split(p_type, ' '), x -> length(x) > 5)) AS wide, aggregate(transform(split(p_type, ' '), x -> length(x)), 0, (a, x) -> a + x) AS letters, "
+        "array_join(array_sort(array_distinct(split(p_type, ' '))), ' ') AS sorted FROM (SELECT DISTINCT p_type FROM part) AS t ORDER BY p_type",
+        "SELECT p_type, array_to_string(list_transform(string_split(p_type, ' '), lambda x: upper(left(x, 2))), '/') AS short, "
+        "len(list_filter(string_split(p_type, ' '), lambda x: length(x) > 5)) AS wide, CAST(list_sum(list_transform(string_split(p_type, ' '), lambda x: length(x))) AS BIGINT) AS letters, "
+        "array_to_string(list_sort(list_distinct(string_split(p_type, ' '))), ' ') AS sorted FROM (SELECT DISTINCT p_type FROM part) AS t ORDER BY p_type LIMIT 200",
+    ),
+    "sql_maps_structs": (
+        "SELECT r_name, m['key'] AS k, array_join(map_keys(m), ',') AS names, s.first_letter AS letter, map_contains_key(m, 'none') AS has_none FROM "
+        "(SELECT r_name, map_from_arrays(array('key', 'size'), array(r_regionkey, length(r_name))) AS m, named_struct('first_letter', left(r_name, 1)) AS s FROM region) AS t "
+        "ORDER BY r_name",
+        "SELECT r_name, m['key'] AS k, array_to_string(map_keys(m), ',') AS names, s.first_letter AS letter, map_contains(m, 'none') AS has_none FROM "
+        "(SELECT r_name, map(['key', 'size'], [r_regionkey, length(r_name)]) AS m, struct_pack(first_letter := left(r_name, 1)) AS s FROM region) AS t",
+    ),
+    "sql_json": (
+        "SELECT event_type, sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS total, count(get_json_object(props, '$.missing')) AS missing "
+        "FROM events GROUP BY event_type ORDER BY event_type",
+        "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(json_extract_string(props, '$.missing')) AS missing "
+        "FROM events GROUP BY event_type",
+    ),
+    "sql_sample": (
+        "SELECT o_orderstatus, count(*) AS n FROM orders TABLESAMPLE (100 PERCENT) GROUP BY o_orderstatus ORDER BY o_orderstatus",
+        "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus",
+    ),
+}
+_GUARDED |= {
+    "sql_full_join": (
+        "SELECT coalesce(c.k, s.k) AS k, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 "
+        "GROUP BY c_nationkey) AS c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) AS s "
+        "ON c.k = s.k ORDER BY k"
+    ),
+    "sql_right_join": (
+        "SELECT n_name, count(s_suppkey) AS suppliers FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal < 1000 "
+        "GROUP BY n_name ORDER BY n_name"
+    ),
+    "sql_cross_join": (
+        "SELECT a.r_name AS left_name, b.r_name AS right_name FROM region AS a CROSS JOIN region AS b WHERE a.r_name < b.r_name ORDER BY left_name, right_name"
+    ),
+    "sql_lateral": (
+        "SELECT n_name, t.s_name, t.s_acctbal FROM nation, LATERAL (SELECT s_name, s_acctbal FROM supplier WHERE s_nationkey = n_nationkey "
+        "ORDER BY s_acctbal DESC, s_name LIMIT 1) AS t ORDER BY n_name"
+    ),
+    "sql_approximate": (
+        "SELECT o_orderpriority, abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.25 * count(DISTINCT o_custkey) AS near "
+        "FROM orders GROUP BY o_orderpriority ORDER BY o_orderpriority"
+    ),
+    "sql_grouping_sets": (
+        "SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS INT) AS g, count(*) AS n FROM lineitem "
+        "GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ()) ORDER BY g, n"
+    ),
+    "sql_ranking": (
+        "SELECT s_name, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(3) OVER (PARTITION BY s_nationkey % 5 ORDER BY s_acctbal, s_name) AS third, "
+        "round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd FROM supplier "
+        "WINDOW w AS (PARTITION BY s_nationkey % 5 ORDER BY s_nationkey) ORDER BY s_name LIMIT 150"
+    ),
+    "sql_lag_lead": (
+        "SELECT y, o_orderstatus, n, lag(n) OVER w AS before, lead(n, 1, 0) OVER w AS later, first_value(n) OVER w AS opening, "
+        "nth_value(n, 2) OVER w AS second_n FROM (SELECT CAST(EXTRACT(year FROM o_orderdate) AS INT) AS y, o_orderstatus, count(*) AS n FROM orders "
+        "GROUP BY 1, 2) AS t WINDOW w AS (PARTITION BY o_orderstatus ORDER BY y) ORDER BY o_orderstatus, y"
+    ),
+    "sql_qualify": (
+        "SELECT n_regionkey, n_name FROM nation WHERE n_name <> 'none' QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) <= 2 ORDER BY n_name"
+    ),
+    "sql_distinct_on": (
+        "SELECT DISTINCT ON (s_nationkey) s_nationkey, s_name, s_acctbal FROM supplier ORDER BY s_nationkey, s_acctbal DESC, s_name"
+    ),
+    "sql_offset": "SELECT n_name FROM nation ORDER BY n_name LIMIT 5 OFFSET 3",
+    "sql_recursive": (
+        "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t ORDER BY n"
+    ),
+    "sql_unpivot": (
+        "SELECT name, round(sum(v), 2) AS total FROM (SELECT l_quantity, l_tax, l_discount FROM lineitem) UNPIVOT (v FOR name IN (l_quantity, l_tax, l_discount)) "
+        "GROUP BY name ORDER BY name"
+    ),
+    "sql_math": (
+        "SELECT n_nationkey, round(sqrt(n_nationkey), 9) AS root, round(ln(n_nationkey + 1), 9) AS natural, round(log10(n_nationkey + 1), 9) AS decimal, "
+        "round(pow(1.5, n_regionkey), 6) AS grown, mod(n_nationkey, 7) AS rest, CAST(sign(n_nationkey - 12) AS INT) AS side, "
+        "greatest(n_nationkey, 10) AS top, least(n_nationkey, n_regionkey) AS low, CAST(floor(n_nationkey / 4.0) AS BIGINT) AS quarters "
+        "FROM nation ORDER BY n_nationkey"
+    ),
+}
+
+
+def _guarded(name: str, sql: str, duck: str | None = None) -> None:
     import re
 
-    names = [t for t in ("orders", "customer", "supplier", "nation", "part", "lineitem", "region") if re.search(rf"\b{t}\b", sql)]
+    names = [t for t in ("orders", "customer", "supplier", "nation", "part", "lineitem", "region", "events") if re.search(rf"\b{t}\b", sql)]
 
     def run(spark, d):
         with guard.Sandbox(spark, {t: table(spark, d, t) for t in names}) as box:
             return box.frame(sql)
 
-    _QUERIES[name], _SQL[name] = run, sql.replace(" ILIKE ", " ILIKE ")
+    _QUERIES[name], _SQL[name] = run, duck or sql
 
 
 for _n, _s in _GUARDED.items():
     _guarded(_n, _s)
+for _n, (_s, _d) in _TRANSLATED.items():
+    _guarded(_n, _s, _d)
+
+
+@_query(
+    "SELECT e.event_id, CAST(epoch_us(v.ts) AS BIGINT) AS seen FROM (SELECT * FROM events WHERE event_type = 'error') AS e "
+    "ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') AS v ON e.user_id = v.user_id AND e.ts >= v.ts"
+)
+def asof_last_view(spark, d):
+    """For each error the user's latest view at or before it."""
+    e = table(spark, d, "events")
+    joined = asof.asof_join(e.where("event_type = 'error'"), e.where("event_type = 'view'"), ["user_id"], "ts", width=86400.0, columns=["event_id"])
+    return joined.select("event_id", F.unix_micros(F.col("matched.ts").cast("timestamp")).alias("seen"))
 
 
 @_query(
