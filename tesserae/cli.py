@@ -8,7 +8,7 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import chunking, index
+from tesserae.operators import chunking, index, retrieval
 from tesserae.plans.guard import Sandbox
 from tesserae.sources import formats, golden, ingest
 
@@ -26,12 +26,8 @@ def build(spark: SparkSession, folder: str, out: str) -> dict:
 
 
 def find(spark: SparkSession, out: str, question: str, mode: str, k: int) -> list[dict]:
-    chunks = spark.read.parquet(f"{out}/chunks").withColumn("body", F.concat_ws("\n", "ctx_header", "text"))
-    asked = spark.createDataFrame([(1, question)], "qid long, question string")
-    sparse = index.sparse_topk(index.postings(chunks, "chunk_id", "body"), index.query_terms(asked, "qid", "question"), chunks.count(), 30)
-    wanted = index.hash_embedding(asked, "qid", "question").select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
-    dense = index.dense_topk(index.hash_embedding(chunks, "chunk_id", "body"), wanted, 30)
-    hits = index.search(dense, sparse, mode, 30).join(chunks, F.col("id") == F.col("chunk_id"))
+    chunks = spark.read.parquet(f"{out}/chunks")
+    hits = retrieval.hits(chunks, spark.createDataFrame([(1, question)], "qid long, question string"), mode)
     kept = index.diversify(hits, top=k).orderBy("place").select("chunk_id", "score", F.substring("text", 1, 200).alias("text"))
     return [r.asDict() for r in kept.collect()]
 

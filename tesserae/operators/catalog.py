@@ -42,6 +42,37 @@ def delete(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+def delete_documents(tables: dict[str, DataFrame], gone: DataFrame, keep_row: bool = False) -> dict[str, DataFrame]:
+    """Every table without the rows of these documents (doc_id); ``keep_row`` spares the table ``documents``."""
+    return {n: t if keep_row and n == "documents" else delete(t, gone, ["doc_id"]) for n, t in tables.items()}
+
+
+def delete_threads(threads: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Threads and their messages without these thread ids."""
+    return delete(threads, gone, ["thread_id"]), delete(messages, gone, ["thread_id"])
+
+
+def add_symbols(symbols: DataFrame, new: DataFrame) -> DataFrame:
+    """Symbols of newly parsed documents replace those held for them."""
+    return upsert(symbols, new, ["doc_id"])
+
+
+def recent_documents(documents: DataFrame, status: str | None = None) -> DataFrame:
+    """Documents, newest first."""
+    kept = documents.filter(F.col("status") == status) if status else documents
+    return kept.orderBy(F.col("added_at").desc_nulls_last(), "doc_id")
+
+
+def chunks_by_id(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Chunks named as ``doc:ordinal`` in ``wanted.chunk_id``; the document is what stands before the last colon."""
+    key = F.col("chunk_id")
+    parts = wanted.select(
+        F.expr("left(chunk_id, length(chunk_id) - length(substring_index(chunk_id, ':', -1)) - 1)").alias("doc_id"),
+        F.substring_index(key, ":", -1).try_cast("long").alias("ordinal"),
+    ).distinct()
+    return chunks.join(parts, ["doc_id", "ordinal"], "left_semi")
+
+
 def touch_threads(threads: DataFrame, seen: DataFrame) -> DataFrame:
     """Upsert of (thread_id, title, created_at, updated_at): of known threads only updated_at moves."""
     both = threads.unionByName(seen)

@@ -213,6 +213,15 @@ def remove_unsupported(answer: str, unsupported: list[str]) -> str:
     return "\n".join(out).strip()
 
 
+def without_unsupported(answers: DataFrame, text_col: str = "answer", claims_col: str = "unsupported") -> DataFrame:
+    """Adds ``supported``: the answer without the sentences in ``claims_col``; a null answer stays null."""
+
+    def run(text: pd.Series, claims: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else remove_unsupported(t, [c for c in (() if k is None else k) if c]) for t, k in zip(text, claims, strict=True)])
+
+    return answers.withColumn("supported", F.pandas_udf(run, "string")(text_col, claims_col))
+
+
 _CITE = re.compile(r"\[\s*(S?\d+(?:\s*[,;]\s*S?\d+)*)\s*\]")
 
 

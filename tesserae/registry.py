@@ -104,6 +104,110 @@ def catalog_inner_join(spark, d):
     )
 
 
+@_query("SELECT doc_id, toxic, source AS file_name FROM labels JOIN documents USING (doc_id)")
+def catalog_documents_inner(spark, d):
+    docs = table(spark, d, "documents").withColumnRenamed("source", "file_name")
+    return catalog.with_documents(table(spark, d, "labels"), docs).select("doc_id", "toxic", "file_name")
+
+
+@_query("SELECT item_id AS doc_id, coalesce(source, '') AS file_name FROM (SELECT item_id * 3 AS item_id FROM benchmark) LEFT JOIN documents ON doc_id = item_id")
+def catalog_documents_left(spark, d):
+    docs = table(spark, d, "documents").withColumnRenamed("source", "file_name")
+    return catalog.with_documents(table(spark, d, "benchmark").select((F.col("item_id") * 3).alias("doc_id")), docs, "left")
+
+
+@_query(
+    "SELECT conv_id AS thread_id, 'thread ' || conv_id AS title, min(turn) AS created_at, max(turn) AS updated_at FROM conversations GROUP BY conv_id"
+)
+def thread_upsert(spark, d):
+    """First turns as known threads, later turns as touches."""
+    c = table(spark, d, "conversations")
+    first = c.groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    rows = lambda df: df.select(
+        F.col("conv_id").alias("thread_id"), F.concat(F.lit("thread "), "conv_id").alias("title"), F.col("turn").alias("created_at"), F.col("turn").alias("updated_at")
+    )
+    return catalog.touch_threads(rows(first), rows(c))
+
+
+@_query(
+    "WITH known AS (SELECT conv_id AS thread_id, turn, turn * 10 AS idx FROM conversations WHERE turn < 2), top AS (SELECT thread_id, max(idx) AS m FROM known GROUP BY 1) "
+    "SELECT thread_id, idx FROM known UNION ALL SELECT conv_id, coalesce(m, -1) + row_number() OVER (PARTITION BY conv_id ORDER BY turn) "
+    "FROM conversations LEFT JOIN top ON conv_id = thread_id WHERE turn >= 2"
+)
+def messages_append(spark, d):
+    c = table(spark, d, "conversations").withColumnRenamed("conv_id", "thread_id")
+    known = c.where("turn < 2").select("thread_id", "turn", (F.col("turn") * 10).alias("idx"))
+    return catalog.append_messages(known, c.where("turn >= 2").select("thread_id", "turn"), "turn").select("thread_id", "idx")
+
+
+@_query("SELECT role, count(*) AS n FROM conversations WHERE conv_id % 7 <> 0 GROUP BY role")
+def threads_delete(spark, d):
+    c = table(spark, d, "conversations").withColumnRenamed("conv_id", "thread_id")
+    threads = c.select("thread_id").distinct()
+    return catalog.delete_threads(threads, c, threads.where("thread_id % 7 = 0"))[1].groupBy("role").agg(F.count("*").alias("n"))
+
+
+@_query(
+    "SELECT replace(p_type, ' ', '.') AS name FROM part UNION SELECT list_last(string_split(p_type, ' ')) FROM part"
+)
+def symbol_name_set(spark, d):
+    return catalog.symbol_names(table(spark, d, "part").select(F.replace("p_type", F.lit(" "), F.lit(".")).alias("symbol")))
+
+
+@_query(
+    "SELECT p_partkey AS doc_id, replace(p_type, ' ', '.') AS symbol FROM part WHERE regexp_replace(p_type, '^[^ ]* ', '') IN "
+    "(SELECT min(regexp_replace(p_type, '^[^ ]* ', '')) FROM part)"
+)
+def symbols_found(spark, d):
+    """Parts as documents whose symbol is their type; found by the part of the name after the first dot."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.replace("p_type", F.lit(" "), F.lit(".")).alias("symbol"))
+    wanted = p.agg(F.min(F.expr("substring(symbol, instr(symbol, '.') + 1)"))).first()[0]
+    return catalog.find_symbols(p, [wanted])
+
+
+@_query(
+    "SELECT count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chunks, CAST(sum(doc_id % 3) AS BIGINT) AS tables, CAST(sum(doc_id % 11) AS BIGINT) AS pages "
+    "FROM documents JOIN labels USING (doc_id) WHERE quality = 1"
+)
+def library_counts(spark, d):
+    both = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    status = F.when(F.col("quality") == 1, "ready").otherwise("error")
+    return catalog.library_totals(
+        both.select(status.alias("status"), F.col("n_chars").alias("chunks"), (F.col("doc_id") % 3).alias("tables"), (F.col("doc_id") % 11).alias("pages"))
+    )
+
+
+@_query(
+    "SELECT p_partkey, CAST(p_size AS VARCHAR) || ',' || CAST(p_partkey % 9 AS VARCHAR) || ',7' AS cited, 'Size ' || p_size || ', see.' AS bare FROM part"
+)
+def citation_ids(spark, d):
+    p = table(spark, d, "part")
+    said = F.format_string("Size %d [S%d, %d], see [ s7 ][S7].", "p_size", "p_size", F.col("p_partkey") % 9)
+    said = F.replace(said, F.lit("[ s7 ]"), F.lit(""))
+    return p.select("p_partkey", F.array_join(T.cited_ids(said), ",").alias("cited"), T.strip_citations(said).alias("bare"))
+
+
+@_query(
+    "SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(a)), 6) AS coverage FROM "
+    "(SELECT p_partkey, string_split(p_type, ' ') AS a, string_split(p_name || ' ' || lower(p_type) || ' ' || left(p_type, 5), ' ') AS b FROM part)"
+)
+def claim_coverage(spark, d):
+    both = F.concat_ws(" ", "p_name", F.lower("p_type"), F.left("p_type", F.lit(5)))
+    return table(spark, d, "part").select("p_partkey", F.round(T.term_coverage(F.split("p_type", " "), F.split(both, " ")), 6).alias("coverage"))
+
+
+@_query(
+    "SELECT c_custkey, regexp_replace(regexp_replace(lower(c_name || ' / ' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slugged, "
+    "round(1 / (1 + exp(-greatest(-30, least(30, c_acctbal / 100)))), 9) AS squashed, regexp_full_match(CAST(c_custkey AS VARCHAR), '(19|20)[0-9][0-9]') AS is_year FROM customer"
+)
+def text_helpers(spark, d):
+    c = table(spark, d, "customer")
+    return c.select(
+        "c_custkey", T.slug(F.concat_ws(" / ", "c_name", "c_mktsegment")).alias("slugged"),
+        F.round(T.sigmoid(F.col("c_acctbal") / 100), 9).alias("squashed"), T.is_year(F.col("c_custkey").cast("string")).alias("is_year"),
+    )
+
+
 @_query(
     "SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN "
     "(SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey"
@@ -454,7 +558,17 @@ def followup_flag(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", T.is_followup("text", F.col("turn")).alias("followup"))
 
 
-@_query()
+def _duck(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+@_query(
+    f"SELECT conv_id, turn, role, CASE WHEN regexp_matches(text, '{_duck(T.CHITCHAT)}') THEN 'chitchat' WHEN regexp_matches(text, '{_duck(T.SUMMARY)}') THEN 'summary' "
+    f"WHEN regexp_matches(text, '{_duck(T.COMPARE)}') THEN 'compare' WHEN regexp_matches(text, '{_duck(T.AGGREGATE)}') THEN 'table' "
+    f"WHEN regexp_matches(text, '{_duck(T.CODE)}') THEN 'code' WHEN regexp_matches(text, '{_duck(T.VISION)}') THEN 'vision' ELSE 'lookup' END AS intent, "
+    r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) > 14 AND (len(regexp_extract_all(text, '\?')) > 1 OR "
+    f"regexp_matches(text, '{_duck(T.CONNECTOR)}')) AS multi_part FROM conversations"
+)
 def intent_flags(spark, d):
     c = table(spark, d, "conversations")
     made = T.intent("text", F.col("text").rlike(T.AGGREGATE), F.col("text").rlike(T.CODE), F.col("text").rlike(T.VISION))

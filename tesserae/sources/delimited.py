@@ -19,6 +19,12 @@ def sniff(sample: str) -> str:
         return max(",;\t|", key=first.count) if first else ","
 
 
+def grid(text: str) -> list[list[str | None]]:
+    """The records of a delimited text, header first; an empty cell is None."""
+    rows = csv.reader(text.lstrip("\ufeff").splitlines(keepends=True), delimiter=sniff(text), skipinitialspace=True)
+    return [[cell or None for cell in row] for row in rows]
+
+
 def read(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """All text first, then typed. ``_row`` is the place of a record in its file, counted from 2 below
     the header: the file is read in one split and numbered as it is read."""

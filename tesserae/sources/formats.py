@@ -21,7 +21,7 @@ LANGUAGES = {
 FORMATS = {e: f for f, names in EXTENSIONS.items() for e in names.split()} | dict.fromkeys(LANGUAGES, "code")
 
 Parser = Callable[[str, bytes], list[dict]]
-_PLUGINS: dict[str, Parser] = {}
+_PLUGINS: dict[str, list[Parser]] = {}
 
 
 def detect_format(path: Column | str) -> Column:
@@ -36,12 +36,15 @@ def format_of(path: str) -> str | None:
     return FORMATS.get(name.rsplit(".", 1)[-1].lower()) if "." in name[1:] else None
 
 
-def scan(spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
-    """``(path, file_name, format, content, doc_id)`` of the supported files under ``root``."""
+def scan(spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """``(path, file_name, format, content, doc_id)`` of the supported files under ``root``, without those
+    named in ``exclude`` (a manifest, a large file that is not asked for). Spark's reader passes over files
+    without a byte."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(root).withColumn("format", detect_format("path")).filter("format IS NOT NULL")
+    files = files.filter(~F.regexp_extract("path", r"([^/]*)$", 1).isin(*exclude)) if exclude else files
     return files.select(
         "path",
         F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
@@ -51,10 +54,17 @@ def scan(spark: SparkSession, root: str, recursive: bool = True, glob: str | Non
     )
 
 
-def register(fmt: str, parser: Parser) -> None:
-    """A parser for a format that needs libraries or models (pdf, image): (file name, bytes) to elements."""
-    _PLUGINS[fmt] = parser
+def register(fmt: str, parser: Parser, first: bool = True) -> None:
+    """A parser for a format that needs libraries or models (pdf, image): (file name, bytes) to elements.
+    The one registered last is tried first, unless ``first`` is false; the next follows where one fails."""
+    known = _PLUGINS.setdefault(fmt, [])
+    known.insert(0 if first else len(known), parser)
 
 
-def plugin(fmt: str) -> Parser | None:
-    return _PLUGINS.get(fmt)
+def unregister(fmt: str) -> None:
+    _PLUGINS.pop(fmt, None)
+
+
+def plugins() -> dict[str, list[Parser]]:
+    """The parsers registered so far; a plan carries them to the executors."""
+    return {fmt: list(parsers) for fmt, parsers in _PLUGINS.items()}
