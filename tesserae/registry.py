@@ -593,7 +593,25 @@ def line_blocks(spark, d):
     return b.groupBy("doc_id", "block").agg(F.count("*").alias("n_lines"), F.min("at").cast("long").alias("first_line"))
 
 
-@_query()
+_NO = "not|never|no|none|neither|nor|without|cannot|nobody|nothing"
+_WORDS = r"len(list_filter(regexp_split_to_array({0}, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))"
+_BARE = r"trim(regexp_replace(regexp_replace(claim, '\[\s*(S?\p{N}+(?:\s*[,;]\s*S?\p{N}+)*)\s*\]', '', 'g'), '\s+([.,;:!?])', '\1', 'g'), ' ')"
+_UNITS = (
+    r"CASE WHEN line LIKE '|%' THEN [line] ELSE list_filter(list_transform(string_split(regexp_replace("
+    r"regexp_replace(line, '^\s*(?:[-*•]|[0-9]+[.)])\s+', ''), '([.!?\]])\s+([A-Z0-9(*\x22\x27])', '\1' || chr(1) || '\2', 'g'), chr(1)), "
+    r"lambda c: trim(c, ' ')), lambda c: c <> '') END"
+)
+
+
+@_query(
+    "WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), "
+    r"lambda x: x <> '' AND NOT regexp_matches(x, '^\s*\|?\s*:?-{2,}')) AS lines FROM documents), "
+    f"u AS (SELECT doc_id, flatten(list_transform(lines, lambda line: {_UNITS})) AS c FROM l), "
+    "s AS (SELECT doc_id, CAST(unnest(range(len(c))) AS INT) AS place, unnest(c) AS claim FROM u), b AS (SELECT *, " + _BARE + " AS bare FROM s) "
+    "SELECT doc_id, place, claim, (" + _WORDS.format("bare") + r" >= 4 OR regexp_matches(bare, '(^|[^\p{L}\p{N}\p{M}_.])[-+]?[$€£¥₹]?\p{Nd}')) "
+    f"AND NOT suffix(bare, ':') AS factual, regexp_matches(claim, '{_words(_NO)}') "
+    r"OR regexp_matches(claim, '(?i)n\x27t([^\p{L}\p{N}\p{M}_]|$)') AS negated FROM b"
+)
 def sentence_split(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.split_claims("text")).alias("place", "claim"))
     return rows.select("doc_id", "place", "claim", T.is_factual("claim").alias("factual"), T.negated("claim").alias("negated"))
