@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -86,3 +88,40 @@ def test_chunks_against_sets():
     for i, a in enumerate(sets[0]):
         for j, b in enumerate(sets[1]):
             assert got[i, j] == neardup.similar(a, b)
+
+
+def test_segments_of_the_simhash_bring_pairs_of_0_8_together():
+    """Keys are runs of the majority bits; pairs of exactly 0.8 agree in one and pass the ring, unlike ones do not pass it."""
+    rng = np.random.default_rng(1)
+    width, segments = neardup.segments_for(1000)
+    one = lambda x: neardup.fingerprint(np.sort(x), width * segments)
+    mark = lambda x, bits: np.array([[len(x), *np.packbits(bits[: neardup.BITS]).view(np.uint64)]], np.uint64)
+    for _ in range(200):
+        shared, *extra = (rng.integers(0, 1 << 64, n, np.uint64) for n in (240, 30, 30, 270))
+        a, b, c = np.append(shared, extra[0]), np.append(shared, extra[1]), extra[2]
+        bits = [one(x) for x in (a, b, c)]
+        keys = [neardup.segment_keys(x, width) for x in bits]
+        agree = [(bits[0][i : i + width] == bits[1][i : i + width]).all() for i in range(0, width * segments, width)]
+        assert [x == y for x, y in zip(*keys[:2], strict=True)] == agree and any(agree)
+        assert neardup.close(mark(a, bits[0]), mark(b, bits[1])).all() and not neardup.close(mark(a, bits[0]), mark(c, bits[2])).any()
+
+
+@pytest.mark.parametrize("cap", [128, 4])
+def test_blocks_over_the_limit_against_brute_force(docs, cap):
+    """Blocks hung on a hub, the rows far from it in tiles and blocks of their own."""
+    rows = families(random.Random(6), 6, 25)
+    got = sorted(r.doc_id for r in neardup.one_of_each(docs(rows, extra=False), block_cap=cap, block_most=4).collect())
+    assert got == brute(rows)
+
+
+def test_crowds_pass_the_ring_first():
+    """Rows of a crowd are linked by their shingles only where their fingerprints are close."""
+    text = " ".join(f"w{j}" for j in range(40))
+
+    def links(words):
+        rows = [(1, 0, 0, 0, 11, 36, 0, 0, 0, text), (1, 0, 0, 1, 12, 36, *words, text)]
+        cols = [pa.array(c) for c in zip(*rows, strict=True)]
+        batch = pa.RecordBatch.from_arrays(cols, ["crowd", "l", "o", "side", "node", "size", "f1", "f2", "f3", "t"])
+        return [tuple(r.values()) for out in neardup._compare(iter([batch])) for r in out.to_pylist()]
+
+    assert links((0, 0, 0)) == [(12, 11)] and links((-1, -1, -1)) == []
