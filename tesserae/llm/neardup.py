@@ -10,13 +10,14 @@ task on the first ``BITS`` bits, a ring of ``RING`` segments: sizes, the whole d
 proportional budget. Only survivors' texts are fetched and settled by the Jaccard similarity of their
 shingles. Texts of 4 or 5 shingles differ in up to 19 % of the bits, which raises both chances to 1e-5.
 
-Skew: texts with the same shingles collapse to one row before any join. A row with more than
-``block_cap`` close rows in a block is crowded: crowded rows that are close hang on one of them instead of
-coming out as pairs. Blocks of more than ``block_most`` rows hang the rows close to one hub on it; the others
+Skew: texts with the same shingles collapse to one row before any join. The blocks are compared twice. A row
+with more than ``block_cap`` close rows in a block is crowded: the first time, crowded rows that are close hang
+on one of them. Blocks of more than ``block_most`` rows hang the rows close to one hub on it; the others
 are compared with these in tiles of ``TILE`` against ``TILE`` rows and among each other as a block of their own.
-What hangs together is a crowd; where the links found to its hubs leave it in several components, the rows
-outside its largest one are compared with all its rows, ``CHUNK`` against ``CHUNK`` rows in a task, by the
-same ring and then products of incidence matrices. No pair of a crowd is a row of a join. That step is
+What hangs together over all blocks is a crowd. The second time rows carry their crowd, and only pairs of
+different crowds come out; a row of none is a crowd of its own. Where the links found to a crowd's hubs leave
+it in several components, the rows outside its largest one are compared with all its rows, ``CHUNK`` against
+``CHUNK`` rows in a task, by the same ring and then products of incidence matrices. That step is
 linear in a crowd of near copies and grows with the rows that are unlike their crowd.
 
 Defined results: words are split at ASCII white space and lower-cased in ASCII; a text under five
@@ -137,48 +138,68 @@ def _signer(width: int, segments: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return sign
 
 
-def _nearer(cap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks, sorted by block and size, to candidates: rows of side 0 with all others, of sides 1 and 2 across."""
+def _strips(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The close pairs of a block, each once: rows, columns and their boolean matrix, a strip of rows at a time."""
+    side, marks = rows[:, 1], np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
+    for at in range(0, len(rows), STRIP):
+        end = min(at + STRIP, len(rows))
+        top = int(np.searchsorted(rows[:, 4], rows[end - 1, 4] / LEAST + 1, "right"))
+        near = close(marks[at:end], marks[at:top])
+        near &= (side[at:end, None] != side[None, at:top]) | (side[at:end, None] == 0)
+        near &= np.arange(at, end)[:, None] < np.arange(at, top)[None, :]
+        if near.any():
+            yield np.arange(at, end), np.arange(at, top), near
+
+
+def crowds_in(cap: int) -> Callable[[np.ndarray], list[np.ndarray]]:
+    """A block to its crowds: the rows with more than ``cap`` close rows, those that hang together on one of them."""
 
-    def compare(rows: np.ndarray) -> list[np.ndarray]:
-        side, node, marks = rows[:, 1], rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+    def find(rows: np.ndarray) -> list[np.ndarray]:
+        if len(rows) <= cap:
+            return []
+        node, marks = rows[:, 2], np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
         degree, strips = np.zeros(len(rows), np.int64), []
-        for at in range(0, len(rows), STRIP):
-            end = min(at + STRIP, len(rows))
-            top = int(np.searchsorted(rows[:, 3], rows[end - 1, 3] / LEAST + 1, "right"))
-            near = close(marks[at:end], marks[at:top])
-            near &= (side[at:end, None] != side[None, at:top]) | (side[at:end, None] == 0)
-            near &= np.arange(at, end)[:, None] < np.arange(at, top)[None, :]
-            if near.any():
-                degree[at:end] += near.sum(axis=1)
-                degree[at:top] += near.sum(axis=0)
-                strips.append((np.arange(at, end), np.arange(at, top), np.packbits(near, axis=1)))
-        crowded, out = degree > cap, []
+        for x, y, near in _strips(rows):
+            degree[x] += near.sum(axis=1)
+            degree[y] += near.sum(axis=0)
+            strips.append((x, y, np.packbits(near, axis=1)))
+        crowded = degree > cap
+        if not crowded.any():
+            return []
+        tiles, out, place = [], [], np.cumsum(crowded) - 1
         for x, y, packed in strips:
-            i, j = np.unpackbits(packed, axis=1, count=len(y)).nonzero()
-            i, j = x[i], y[j]
-            alone = ~(crowded[i] & crowded[j])
-            a, b = node[i[alone]], node[j[alone]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), PAIR)], axis=1))
-        if crowded.any():
-            tiles, place = [], np.cumsum(crowded) - 1
-            for x, y, packed in strips:
-                u, v = crowded[x], crowded[y]
-                if u.any():
-                    near = np.unpackbits(packed, axis=1, count=len(y))[u][:, v]
-                    tiles.append((place[x[u]], place[y[v]], np.packbits(near, axis=1)))
-            who = crowded.nonzero()[0]
-            root = smallest_linked(len(who), tiles)
-            order = np.lexsort((node[who], degree[who], root))
-            last = np.append(root[order][1:] != root[order][:-1], True)
-            hub = np.zeros(len(who), np.int64)
-            hub[root[order][last]] = who[order][last]
-            for h in np.unique(hub[root]):
-                mine = who[hub[root] == h]
-                kind = np.where(close(marks[h : h + 1], marks[mine])[0], STAR, MEMBER)
-                out.append(np.stack([np.full(len(mine), node[h]), node[mine], kind], axis=1))
+            u, v = crowded[x], crowded[y]
+            if u.any():
+                near = np.unpackbits(packed, axis=1, count=len(y))[u][:, v]
+                tiles.append((place[x[u]], place[y[v]], np.packbits(near, axis=1)))
+        who = crowded.nonzero()[0]
+        root = smallest_linked(len(who), tiles)
+        order = np.lexsort((node[who], degree[who], root))
+        last = np.append(root[order][1:] != root[order][:-1], True)
+        hub = np.zeros(len(who), np.int64)
+        hub[root[order][last]] = who[order][last]
+        for h in np.unique(hub[root]):
+            mine = who[hub[root] == h]
+            kind = np.where(close(marks[h : h + 1], marks[mine])[0], STAR, MEMBER)
+            out.append(np.stack([np.full(len(mine), node[h]), node[mine], kind], axis=1))
         return out
 
+    return find
+
+
+def pairs_in(rows: np.ndarray) -> list[np.ndarray]:
+    """A block to its close pairs of different crowds."""
+    node, crowd, out = rows[:, 2], rows[:, 3], []
+    for x, y, near in _strips(rows):
+        i, j = (near & (crowd[x, None] != crowd[None, y])).nonzero()
+        a, b = node[x[i]], node[y[j]]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), PAIR)], axis=1))
+    return out
+
+
+def _by_block(compare: Callable[[np.ndarray], list[np.ndarray]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``compare`` on each block of rows sorted by block and size; rows of side 0 meet all others, of sides 1 and 2 those across."""
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             found: list[np.ndarray] = []
@@ -302,9 +323,9 @@ def _fits(a: str, b: str) -> Column:
     return size & (reduce(Column.__add__, [F.bit_count(w) for w in words]) <= LIMIT) & chains_hold(words, RING, LIMIT)
 
 
-def _candidates(classes: DataFrame, cap: int, most: int, scratch: list[DataFrame]) -> DataFrame:
-    """``(a, b, kind)`` for the rows that share a segment and are close."""
-    mark = ["node", "size", *WORD_COLS]
+def _blocks(classes: DataFrame, most: int, scratch: list[DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows that share a segment as blocks, and for blocks of more than ``most`` rows the hub with the rows close to it."""
+    mark = ["node", "crowd", "size", *WORD_COLS]
     rest = classes.select(F.explode(F.col("keys").cast("array<long>")).alias("key"), *mark)
     blocks, stars = [], []
 
@@ -337,13 +358,30 @@ def _candidates(classes: DataFrame, cap: int, most: int, scratch: list[DataFrame
         block(split.filter("fit").select("*", against("far").alias("l"), mine("near").alias("o")), tile, 2)
         rest = split.filter("not fit").select("key", *mark)
     block(rest, F.col("key") if not stars else F.xxhash64(F.lit(len(stars)), "key"), 0)
-    dealt = reduce(DataFrame.unionByName, blocks).repartition("block").sortWithinPartitions("block", "size", "node")
-    near = dealt.select("block", "side", *mark).mapInArrow(_nearer(cap), _NEAR)
-    return settle(reduce(DataFrame.unionByName, [near, *stars]).distinct(), "neardup-near", scratch)
+    return reduce(DataFrame.unionByName, blocks), stars
+
+
+def _candidates(classes: DataFrame, cap: int, most: int, scratch: list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For the rows that share a segment and are close: hubs and their rows ``(a, b, kind)``, the crowds
+    ``(node, crowd)`` these make, and the pairs ``(a, b)`` of different crowds. The crowds come first, so that
+    no pair of one is ever a row."""
+
+    def within(blocks: DataFrame, compare: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+        dealt = blocks.repartition("block").sortWithinPartitions("block", "size", "node")
+        return dealt.select("block", "side", "node", "crowd", "size", *WORD_COLS).mapInArrow(_by_block(compare), _NEAR)
+
+    first: list[DataFrame] = []
+    blocks, stars = _blocks(classes.withColumn("crowd", F.col("node")), most, first)
+    hung = settle(reduce(DataFrame.unionByName, [within(blocks, crowds_in(cap)), *stars]).distinct(), "neardup-near", scratch)
+    discard(first)
+    crowds = settle(components(hung, "a", "b").select("node", F.col("component").alias("crowd")), "neardup-crowds", scratch)
+    known = classes.join(sized_broadcast(crowds), "node", "left").withColumn("crowd", F.coalesce("crowd", "node"))
+    blocks, _ = _blocks(known, most, scratch)
+    return hung, crowds, within(blocks, pairs_in).select("a", "b")
 
 
 def one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_cap: int = 128, block_most: int = TILE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_cap: int = 32, block_most: int = TILE
 ) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component of similar texts."""
     ship(docs.sparkSession)
@@ -363,20 +401,14 @@ def one_of_each(
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
     same = [F.first(c).alias(c) for c in ("keys", *WORD_COLS)]
     classes = settle(signed.groupBy("node", "size").agg(F.min(order).alias("first"), *same), "neardup-classes", scratch)
-    near = _candidates(classes, block_cap, max(block_most, 4 * n_rows >> width), scratch)
-    pairs, hung = near.filter(F.col("kind") == PAIR), near.filter(F.col("kind") != PAIR)
-    crowded = not hung.isEmpty()
+    hung, crowds, pairs = _candidates(classes, block_cap, max(block_most, 4 * n_rows >> width), scratch)
+    crowded = not crowds.isEmpty()
     if crowded:
-        crowds = settle(components(hung, "a", "b").select("node", F.col("component").alias("crowd")), "neardup-crowds", scratch)
-        mates = sized_broadcast(crowds)
-        for end in ("a", "b"):
-            pairs = pairs.join(mates.select(F.col("node").alias(end), F.col("crowd").alias(f"crowd_{end}")), end, "left")
-        pairs = pairs.filter(F.coalesce(F.col("crowd_a") != F.col("crowd_b"), F.lit(True)))  # rows of one crowd are compared there
-        stars = near.filter((F.col("kind") == STAR) & (F.col("a") != F.col("b")))
+        stars = hung.filter((F.col("kind") == STAR) & (F.col("a") != F.col("b")))
         liked = stars.join(stars.groupBy("a").agg(F.count("*").alias("n")), "a").groupBy("b")
         liked = liked.agg(F.slice(F.sort_array(F.collect_set(F.struct("n", "a")), asc=False), 1, HUBS).alias("hubs"))
         liked = liked.select("b", F.explode("hubs.a").alias("a"))
-        pairs = pairs.select("a", "b").unionByName(liked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        pairs = pairs.unionByName(liked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     edges = _verified(pairs, classes, keyed, text_col, scratch)
     found = components(edges, "a", "b")
     if crowded:

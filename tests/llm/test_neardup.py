@@ -125,3 +125,23 @@ def test_crowds_pass_the_ring_first():
         return [tuple(r.values()) for out in neardup._compare(iter([batch])) for r in out.to_pylist()]
 
     assert links((0, 0, 0)) == [(12, 11)] and links((-1, -1, -1)) == []
+
+
+def test_pairs_of_a_crowd_are_never_rows(docs, monkeypatch):
+    """160 near copies make 12,720 pairs; the candidates that are written stay in proportion to the copies."""
+    rng, rows, made, real = random.Random(8), [], {}, neardup.settle
+    for k in range(160):
+        t = [f"w{j}" for j in range(150)]
+        for _ in range(rng.randint(1, 3)):
+            t[rng.randrange(len(t))] = f"c{rng.randrange(10**9)}"
+        rows.append((k, " ".join(t)))
+
+    def settle(df, name, *rest):
+        out = real(df, name, *rest)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "settle", settle)
+    got = sorted(r.doc_id for r in neardup.one_of_each(docs(rows, extra=False), block_cap=32).collect())
+    assert got == brute(rows)
+    assert {"neardup-near", "neardup-pairs"} <= set(made) and max(made["neardup-near"], made["neardup-pairs"]) <= 25 * len(rows), made
