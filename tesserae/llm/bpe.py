@@ -21,6 +21,7 @@ input columns other than id and text are ignored. Memory: words are cached per P
 from __future__ import annotations
 
 import functools
+import gc
 import heapq
 import json
 import re
@@ -74,32 +75,32 @@ class Vocabulary:
             pair = (self.ids[a], self.ids[b])
             self.rank.setdefault(pair, len(self.rules))
             self.rules.append((*pair, self.ids[a + b]))
+        self.starts = np.array(self.first + self.last)
+        self.start_ranks = np.array([[self.rank.get((a, b), -1) for b in self.starts.tolist()] for a in self.first + self.last])
+        self.raw = {i: i.to_bytes(4, "little") for i in self.names}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
     def merge(self, words: Iterable[str]) -> list[list[int]]:
         """The ids of each word, all words merged together over one pair occurrence index."""
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts: list[int] = []
-        where: dict[int, list[int]] = {}
-        rank = self.rank
-        for word in words:
-            raw = word.encode()
-            at, n = len(symbol), len(raw)
-            starts.append(at)
-            symbol.extend([self.first[b] for b in raw[:-1]])
-            symbol.append(self.last[raw[-1]])
-            before.append(-1)
-            before.extend(range(at, at + n - 1))
-            after.extend(range(at + 1, at + n))
-            after.append(-1)
-            for i in range(at, at + n - 1):
-                r = rank.get((symbol[i], symbol[i + 1]))
-                if r is not None:
-                    where.setdefault(r, []).append(i)
+        raws = [word.encode() for word in words]
+        if not raws:
+            return []
+        sizes = np.array([len(raw) for raw in raws])
+        ends = sizes.cumsum()
+        codes = np.frombuffer(b"".join(raws), np.uint8).astype(np.int64)
+        codes[ends - 1] += 256  # the last byte of a word
+        symbol: list[int] = self.starts[codes].tolist()
+        after, before = np.arange(1, len(codes) + 1), np.arange(-1, len(codes) - 1)
+        after[ends - 1] = before[ends - sizes] = -1
+        ranks = self.start_ranks[codes[:-1], codes[1:]]
+        ranks[ends[:-1] - 1] = -1  # pairs across words
+        found = (ranks >= 0).nonzero()[0]
+        found = found[ranks[found].argsort(kind="stable")]
+        kinds, cuts = np.unique(ranks[found], return_index=True)
+        rank, after, before = self.rank, after.tolist(), before.tolist()
+        where = {r: places.tolist() for r, places in zip(kinds.tolist(), np.split(found, cuts[1:]), strict=False)}
         active = list(where)
         heapq.heapify(active)
         while active:
@@ -126,14 +127,10 @@ class Vocabulary:
                             where[new] = []
                             heapq.heappush(active, new)
                         where[new].append(h)
-        out = []
-        for at in starts:
-            ids = []
-            while at >= 0:
-                ids.append(symbol[at])
-                at = after[at]
-            out.append(ids)
-        return out
+        left_over = np.array(symbol)
+        stay = left_over >= 0
+        ids, upto = left_over[stay].tolist(), stay.cumsum()[ends - 1].tolist()
+        return [ids[a:b] for a, b in zip([0, *upto], upto, strict=False)]
 
 
 class Encoder:
@@ -143,8 +140,8 @@ class Encoder:
         self.merged: dict[str, list[int]] = {}
 
     def _entry(self, ids: list[int]) -> tuple[int, bytes, str]:
-        names = self.vocabulary.names
-        return len(ids), np.array(ids, "<u4").tobytes(), " ".join([names[i] for i in ids])
+        names, raw = self.vocabulary.names, self.vocabulary.raw
+        return len(ids), b"".join([raw[i] for i in ids]), " ".join([names[i] for i in ids])
 
     def _chunks(self, text: str) -> list[str]:
         return [c for c in _SPACES.split(text) if c] if _SEPARATORS.search(text) else text.split()
@@ -162,6 +159,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
         """(number of tokens, ids as little-endian u32, decoded text) of each text."""
+        collects = gc.isenabled()
+        gc.disable()  # the many small lists and tuples hold no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
         if len(self.known) > CACHE or len(self.merged) > CACHE:
             self.known.clear()
             self.merged.clear()

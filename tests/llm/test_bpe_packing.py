@@ -78,3 +78,23 @@ def test_packing(docs, odd):
         copies = sum(a == (i, text) for a in odd)
         assert [x for k, (_, ids) in enumerate(parts) if k % copies == 0 for x in ids] == want
     assert packing.digest(docs(odd).filter("doc_id < 0"), BYTES).count() == 0
+
+
+def test_the_index_starts_without_a_step_for_each_byte():
+    """The pairs of bytes are ranked by a table; only pairs that a merge makes are looked up one by one."""
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *key):
+            Counted.n += 1
+            return super().get(*key)
+
+    vocabulary, words = bpe.Vocabulary(WORDS), [f"{a}{b}" for a in "qxzj" for b in range(10)] + ["q" * 3000, "1" * 3000]
+    want = vocabulary.merge(words)
+    vocabulary.rank = Counted(vocabulary.rank)
+    assert vocabulary.merge(words) == want == [vocabulary.merge([w])[0] for w in words] and vocabulary.merge([]) == []
+    Counted.n = 0
+    vocabulary.merge(words)
+    made = sum(len(w) for w in words) - sum(len(ids) for ids in want)
+    assert Counted.n <= 2 * made
